@@ -217,7 +217,7 @@ def warehouse_autoscaling(e: Evidence) -> Verdict:
         e.n("warehouses.scaling"),
         e.n("warehouses.total"),
         "warehouses can scale out",
-        nothing="No warehouses were found.",
+        nothing="No warehouses were found that could scale.",
     )
 
 
