@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Iterable
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from posture.config import AssessmentConfig
@@ -15,8 +13,6 @@ from posture.plans.scorecard import check_coverage, question_ids, scorecard
 from posture.sources.registry import Sources
 from posture.sources.results import read_results, run_results, write_results
 
-log = logging.getLogger(__name__)
-
 
 def questions_of(pillars: Iterable[str] | None = None) -> list[str]:
     """Measured questions of the given areas (default: all), in bank order."""
@@ -38,18 +34,13 @@ def assess(
     """Grade the questions and return their rows.
 
     With ``results_path`` the rows are stored (replacing those of the same run and
-    areas) and read back. All sources are measured in one job; if that job fails,
-    they are measured one by one, and only questions on a failing source stay
-    open.
+    areas) and read back. A source that cannot be read, or whose job fails, leaves
+    only its own questions open.
     """
     ids = questions_of(pillars)
     check_coverage(ids)
     run = Run(sources, config)
-    try:
-        return _store(run, scorecard(run, ids), results_path)
-    except PySparkException as problem:
-        log.warning("measuring source by source: %s", str(problem).split("\n")[0])
-        return _store(run, scorecard(run, ids, isolate=True), results_path)
+    return _store(run, scorecard(run, ids), results_path)
 
 
 def _store(run: Run, rows: DataFrame, results_path: str | None) -> DataFrame:

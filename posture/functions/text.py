@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 from operator import or_
@@ -23,6 +24,27 @@ def any_like(column: Column, patterns: Iterable[str], negate: bool = False) -> C
     return ~hit if negate else hit
 
 
+def like(column: Column, pattern: str) -> Column:
+    """LIKE on text that is lowercase already.
+
+    A pattern with inner wildcards runs as a regular expression, so its longest
+    literal piece is looked for first and few rows get that far.
+    """
+    pieces = re.split("[%_]+", pattern)
+    if len(pieces) == 3 and pattern == f"%{pieces[1]}%":
+        return column.contains(pieces[1])
+    return column.contains(max(pieces, key=len)) & column.like(pattern)
+
+
+def like_any(column: Column, patterns: Iterable[str]) -> Column:
+    return reduce(or_, (like(column, p) for p in patterns))
+
+
+def matches(column: Column, regex: str, *words: str) -> Column:
+    """A regular expression, tried only on rows with one of the words it needs."""
+    return has_any(column, words) & column.rlike(regex)
+
+
 def has_any(column: Column, words: Iterable[str]) -> Column:
     """Whether the (already lowercased) text holds one of the plain words.
 

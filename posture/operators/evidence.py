@@ -178,15 +178,12 @@ def _evidence(frame: DataFrame, plan: Pass, wanted: list[str]) -> DataFrame:
         row = _two_level(frame, metrics, plan.carrier, spread)
     else:
         row = frame.agg(*(_global(m).alias(n) for n, m in metrics.items()))
-    entry = [
-        F.struct(
-            F.lit(n).alias("metric"),
-            F.col(f"`{n}`").cast("double").alias("value"),
-            F.lit(None).cast(MIX).alias("mix"),
-        )
+    entries = ", ".join(
+        f"named_struct('metric', '{n}', 'value', CAST(`{n}` AS DOUBLE),"
+        f" 'mix', CAST(NULL AS {MIX}))"
         for n in metrics
-    ]
-    return row.select(F.inline(F.array(*entry)))
+    )
+    return row.selectExpr(f"inline(array({entries}))")
 
 
 def _global(metric: Metric) -> Column:
@@ -307,7 +304,10 @@ def _narrow(
                 F.struct(F.lit(key).alias("kind"), value.alias("key")),
             )
         )
-    widened = narrow.withColumn("_entry", F.explode(F.array_compact(F.array(*entries))))
+    # Plain explode and filter stay inside generated code; absent keys never leave it.
+    widened = narrow.withColumn("_entry", F.explode(F.array(*entries))).where(
+        F.col("_entry").isNotNull()
+    )
     kept_carrier = [
         F.when(F.col("_entry.kind") == "", F.col(c)).alias(c) for c in carrier
     ]

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from posture import fixed_values as fixed
-from posture.functions.text import any_like, has_any, lowered
+from posture.functions.text import has_any, like, like_any, lowered, matches
 from posture.operators.evidence import (
     Distinct,
     Groups,
@@ -45,10 +45,14 @@ def queries(run: Run) -> Pass:
     pruned, opened = _or_zero("pruned_files"), _or_zero("read_files")
     spilled = _or_zero("spilled_local_bytes") > 0
     queued = _or_zero("waiting_at_capacity_duration_ms") > 0
-    joins = done & text.like(fixed.JOIN_TEXT)
-    on_billing = text.like(fixed.BILLING_TEXT)
-    on_billing_schema = text.like(fixed.BILLING_SCHEMA_TEXT)
-    on_system = text.like(fixed.SYSTEM_TEXT)
+    joins = done & like(text, fixed.JOIN_TEXT)
+    # Most statements do not name telemetry at all; one search rules them out.
+    on_system = like(text, fixed.SYSTEM_TEXT)
+    on_billing_schema = on_system & like(text, fixed.BILLING_SCHEMA_TEXT)
+    on_billing = on_billing_schema & like(text, fixed.BILLING_TEXT)
+    on_lineage = on_system & like(text, fixed.LINEAGE_TEXT)
+    on_audit = on_system & like(text, fixed.AUDIT_TEXT)
+    on_history = on_system & like(text, fixed.HISTORY_TEXT)
     select = F.col("statement_type") == "SELECT"
     with_file_counts = done & (pruned + opened > 0)
 
@@ -58,31 +62,33 @@ def queries(run: Run) -> Pass:
     metrics = {
         "all": Rows(),
         "principals": Distinct("executed_by"),
-        "lineage": Rows(text.like(fixed.LINEAGE_TEXT)),
-        "lineage_principals": Distinct("executed_by", text.like(fixed.LINEAGE_TEXT)),
-        "audit": Rows(text.like(fixed.AUDIT_TEXT)),
-        "audit_principals": Distinct("executed_by", text.like(fixed.AUDIT_TEXT)),
+        "lineage": Rows(on_lineage),
+        "lineage_principals": Distinct("executed_by", on_lineage),
+        "audit": Rows(on_audit),
+        "audit_principals": Distinct("executed_by", on_audit),
         "billing": Rows(on_billing),
         "billing_principals": Distinct("executed_by", on_billing),
-        "history": Rows(text.like(fixed.HISTORY_TEXT)),
+        "history": Rows(on_history),
         "system_principals": Distinct(
-            "executed_by", on_system & ~text.like(fixed.SCHEMA_BROWSING_TEXT)
+            "executed_by", on_system & ~like(text, fixed.SCHEMA_BROWSING_TEXT)
         ),
         "trend": Rows(
             on_billing & (has_any(text, fixed.TREND_WORDS) | text.contains("group by"))
         ),
         "inline_credentials": Rows(
-            text.rlike(fixed.INLINE_URL) | any_like(text, fixed.INLINE_KEYS)
+            matches(text, fixed.INLINE_URL, "jdbc:") | like_any(text, fixed.INLINE_KEYS)
         ),
-        "file_ingestion": Rows(any_like(text, fixed.FILE_INGESTION_TEXT)),
-        "ai_functions": Rows(text.rlike(fixed.AI_FUNCTIONS)),
+        "file_ingestion": Rows(like_any(text, fixed.FILE_INGESTION_TEXT)),
+        "ai_functions": Rows(matches(text, fixed.AI_FUNCTIONS, "ai_")),
         "assistant_rooms": Rows(F.col("query_source.genie_space_id").isNotNull()),
-        "streaming": Rows(any_like(text, fixed.STREAM_TEXT)),
-        "time_travel": Rows(any_like(text, fixed.TIME_TRAVEL_TEXT)),
-        "clustering": Rows(any_like(text, fixed.CLUSTERING_TEXT)),
-        "function_definitions": Rows(text.rlike(fixed.FUNCTION_DEFINITION)),
-        "compaction": Rows(text.rlike(fixed.COMPACTION_STATEMENT)),
-        "statistics": Rows(text.rlike(fixed.STATISTICS_STATEMENT)),
+        "streaming": Rows(like_any(text, fixed.STREAM_TEXT)),
+        "time_travel": Rows(like_any(text, fixed.TIME_TRAVEL_TEXT)),
+        "clustering": Rows(like_any(text, fixed.CLUSTERING_TEXT)),
+        "function_definitions": Rows(
+            matches(text, fixed.FUNCTION_DEFINITION, "function", "_udf")
+        ),
+        "compaction": Rows(matches(text, fixed.COMPACTION_STATEMENT, "optimize ")),
+        "statistics": Rows(matches(text, fixed.STATISTICS_STATEMENT, "analyze")),
         "dashboards": Distinct("dashboard", on_system),
         "billing_dashboards": Distinct("dashboard", on_billing_schema),
         "alerts": Distinct("alert"),

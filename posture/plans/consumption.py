@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from posture import fixed_values as fixed
 from posture.functions.text import has_any, lowered
-from posture.operators.evidence import Distinct, Groups, Pass, Rows, TopK, Total
+from posture.operators.evidence import Distinct, Pass, Rows, TopK, Total
 from posture.operators.run import Run
-from posture.operators.windows import in_window
 from posture.plans.passes import evidence
 
 USAGE = "billing.usage"
@@ -26,8 +25,19 @@ def _serverless() -> Column:
 
 @evidence("usage", USAGE)
 def usage(run: Run) -> Pass:
-    """Sums per day and product first: few groups, whatever the number of records."""
-    frame = run.recent(USAGE, "usage_date")
+    """One scan of the billing records, over the lookback and the trend periods.
+
+    Sums are taken per day and product first: few groups, whatever the number of
+    records. Serverless jobs are a spread key of the same scan.
+    """
+    trend = fixed.TREND_DAYS
+    widest = max(run.config.lookback_days, 2 * trend)
+    frame = run.recent(USAGE, "usage_date", widest)
+    recent = F.lit(True)
+    if run.config.lookback_days < widest:
+        recent = run.since(frame, "usage_date")
+    in_trend = run.since(frame, "usage_date", 2 * trend)
+    in_last = run.since(frame, "usage_date", trend)
     amount = F.col("usage_quantity")
     photon = F.coalesce(F.col("product_features.is_photon"), F.lit(False))
     product = lowered(F.col("billing_origin_product"))
@@ -39,61 +49,36 @@ def usage(run: Run) -> Pass:
     )
 
     def amount_where(condition: Column) -> Total:
-        return Total(F.when(condition, amount).otherwise(0))
+        return Total(F.when(recent & condition, amount).otherwise(0))
 
     return Pass(
         frame,
         {
-            "usage.rows": Rows(),
-            "usage.days": Distinct("usage_date"),
-            "usage.total": Total(amount),
+            "usage.rows": Rows(recent),
+            "usage.days": Distinct("usage_date", recent),
+            "usage.total": amount_where(F.lit(True)),
             "usage.serverless": amount_where(_serverless()),
             "usage.serverless_products": Distinct(
-                "billing_origin_product", F.col("product_features.is_serverless")
+                "billing_origin_product", recent & F.col("product_features.is_serverless")
             ),
+            "usage.serverless_jobs": Distinct("job", recent & _serverless()),
             "usage.photon": amount_where(photon),
             "usage.sql": amount_where(sql_sku),
             "usage.vectorized": amount_where(photon | _sku().contains("photon") | sql_sku),
-            "usage.non_sql": Total(F.when(other_than_sql, amount)),
+            "usage.non_sql": amount_where(other_than_sql),
             "usage.all_purpose": amount_where(other_than_sql & _sku().like("%all_purpose%")),
             "usage.gpu": amount_where(_sku().contains("gpu")),
-            "usage.tagged": Rows(F.size(tag_keys) > 0),
-            "usage.chargeback": Rows(chargeback),
+            "usage.tagged": Rows(recent & (F.size(tag_keys) > 0)),
+            "usage.chargeback": Rows(recent & chargeback),
             "usage.egress": Rows(
-                has_any(_sku(), fixed.EGRESS_SKUS) | product.contains("sharing")
+                recent & (has_any(_sku(), fixed.EGRESS_SKUS) | product.contains("sharing"))
             ),
+            "usage.trend_days": Distinct("usage_date", in_trend),
+            "usage.last_period": Total(F.when(in_last, amount).otherwise(0)),
+            "usage.prior_period": Total(F.when(in_trend & ~in_last, amount).otherwise(0)),
         },
         carrier=("usage_date", "billing_origin_product"),
-    )
-
-
-@evidence("serverless_jobs", USAGE)
-def serverless_jobs(run: Run) -> Pass:
-    frame = run.recent(USAGE, "usage_date").where(
-        _serverless() & F.col("usage_metadata.job_id").isNotNull()
-    )
-    return Pass(
-        frame.select(F.col("usage_metadata.job_id").alias("job_id")),
-        {"serverless_jobs.total": Groups()},
-        carrier=("job_id",),
-    )
-
-
-@evidence("usage_trend", USAGE)
-def usage_trend(run: Run) -> Pass:
-    """Two adjacent periods in one pass."""
-    days = fixed.TREND_DAYS
-    frame = in_window(run.sources.frame(USAGE), "usage_date", run.config, 2 * days)
-    recent = run.since(frame, "usage_date", days)
-    amount = F.col("usage_quantity")
-    return Pass(
-        frame,
-        {
-            "usage_trend.days": Distinct("usage_date"),
-            "usage_trend.recent": Total(F.when(recent, amount).otherwise(0)),
-            "usage_trend.prior": Total(F.when(~recent, amount).otherwise(0)),
-        },
-        carrier=("usage_date",),
+        spread={"job": F.col("usage_metadata.job_id")},
     )
 
 

@@ -452,8 +452,8 @@ def quota_pressure(e: Evidence) -> Verdict:
 
 @question("OE-04-02", "billing.usage")
 def capacity_planning(e: Evidence) -> Verdict:
-    days, queries = e.n("usage_trend.days"), e.n("queries.trend")
-    recent, prior = e.x("usage_trend.recent"), e.x("usage_trend.prior")
+    days, queries = e.n("usage.trend_days"), e.n("queries.trend")
+    recent, prior = e.x("usage.last_period"), e.x("usage.prior_period")
     growth = percent(recent - prior, prior)
     return Verdict(
         F.when(days == 0, OPEN).when(queries == 0, IN_PROGRESS).otherwise(COMPLETED),

@@ -444,7 +444,7 @@ def job_monitoring(e: Evidence) -> Verdict:
     )
     return Verdict(
         F.when(runs == 0, OPEN).otherwise(verdict.status),
-        F.when(runs == 0, f"No job runs in {e.config.lookback_days} days.").otherwise(
+        F.when(runs == 0, f"No job runs were recorded in {e.config.lookback_days} days.").otherwise(
             F.concat(
                 verdict.reason,
                 sentence(

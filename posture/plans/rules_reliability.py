@@ -41,7 +41,7 @@ def transactional_formats(e: Evidence) -> Verdict:
 
 @question("R-01-02", "compute.clusters")
 def managed_engine(e: Evidence) -> Verdict:
-    clusters, jobs = e.n("clusters.total"), e.n("serverless_jobs.total")
+    clusters, jobs = e.n("clusters.total"), e.n("usage.serverless_jobs")
     return Verdict(
         F.when((clusters == 0) & (jobs == 0), OPEN).otherwise(COMPLETED),
         sentence(
@@ -197,7 +197,7 @@ def data_centric_learning(e: Evidence) -> Verdict:
 @question("R-03-01", "compute.clusters")
 def cluster_autoscaling(e: Evidence) -> Verdict:
     total, scaling = e.n("clusters.total"), e.n("clusters.autoscaling")
-    jobs = e.n("serverless_jobs.total")
+    jobs = e.n("usage.serverless_jobs")
     by_share = e.ratio(
         scaling, total, "recent clusters scale automatically", metrics={"serverless_jobs": jobs}
     )
@@ -322,7 +322,7 @@ def platform_events(e: Evidence) -> Verdict:
     )
     return Verdict(
         F.when(runs == 0, OPEN).otherwise(verdict.status),
-        F.when(runs == 0, f"No job runs in {e.config.lookback_days} days.").otherwise(
+        F.when(runs == 0, f"No job runs were recorded in {e.config.lookback_days} days.").otherwise(
             F.concat(
                 verdict.reason,
                 sentence(

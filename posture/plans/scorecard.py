@@ -5,13 +5,14 @@ from __future__ import annotations
 import logging
 from collections import defaultdict
 from collections.abc import Iterable, Mapping
-from functools import reduce
+from concurrent.futures import Future, ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posture.operators.evidence import EVIDENCE, TopK, measure, top_k_evidence
+from posture.operators.evidence import EVIDENCE, TopK, measure, top_k, top_k_evidence
 from posture.operators.run import Run
 from posture.plans import (  # noqa: F401 - registers passes and rules
     activity,
@@ -28,7 +29,7 @@ from posture.plans import (  # noqa: F401 - registers passes and rules
 )
 from posture.plans.bank import question_bank, questions
 from posture.plans.passes import PASSES
-from posture.plans.rules import RULES, Verdict, decide, ordered
+from posture.plans.rules import RULES, RuleSpec, Verdict, decide, ordered
 
 log = logging.getLogger(__name__)
 Failures = dict[str, str]
@@ -51,58 +52,86 @@ def check_coverage(ids: Iterable[str] | None = None) -> None:
         raise AssertionError(f"unknown questions {sorted(got - known)}")
 
 
+def _by_pass(metrics: Iterable[str]) -> dict[str, list[str]]:
+    found: dict[str, list[str]] = defaultdict(list)
+    for metric in sorted(metrics):
+        found[metric.split(".", 1)[0]].append(metric)
+    return found
+
+
+def _plan_pass(run: Run, name: str, metrics: list[str]) -> tuple[DataFrame | None, Failures]:
+    try:
+        built = PASSES[name].build(run)
+        if isinstance(built, TopK):
+            return top_k_evidence(metrics[0], built), {}
+        return measure(built, metrics)
+    except PySparkException as problem:
+        return None, dict.fromkeys(metrics, _message(problem))
+
+
 def evidence_passes(
     run: Run, metrics: Iterable[str]
 ) -> tuple[dict[str, DataFrame], Failures]:
     """One long-evidence DataFrame per pass, and the metrics that do not resolve."""
-    wanted: dict[str, list[str]] = defaultdict(list)
-    for metric in sorted(metrics):
-        wanted[metric.split(".", 1)[0]].append(metric)
     frames: dict[str, DataFrame] = {}
     failed: Failures = {}
-    for name, names in wanted.items():
-        try:
-            built = PASSES[name].build(run)
-            if isinstance(built, TopK):
-                frames[name] = top_k_evidence(names[0], built)
-            else:
-                frame, problems = measure(built, names)
-                failed.update(problems)
-                if frame is not None:
-                    frames[name] = frame
-        except PySparkException as problem:
-            failed.update(dict.fromkeys(names, _message(problem)))
+    for name, names in _by_pass(metrics).items():
+        frame, problems = _plan_pass(run, name, names)
+        failed.update(problems)
+        if frame is not None:
+            frames[name] = frame
     return frames, failed
 
 
-def materialize(
-    run: Run, frames: Mapping[str, DataFrame], wanted: Mapping[str, list[str]]
-) -> tuple[dict[str, DataFrame], Failures]:
-    """Run the passes one by one; a pass that fails is reported instead of raised.
+class Measurement:
+    """All passes as concurrent jobs, each started as soon as it is planned.
 
-    Each pass yields a fixed, small number of rows (one per metric).
+    One job per pass keeps every plan small, lets passes share the cluster, and
+    confines a failing source to its own questions. A pass answers with one row per
+    metric, so what comes back is a few hundred numbers whatever the data size.
     """
-    done: dict[str, DataFrame] = {}
-    failed: Failures = {}
-    for name, frame in frames.items():
-        try:
-            rows = frame.collect()
-        except PySparkException as problem:
-            log.warning("pass %s failed: %s", name, _message(problem))
-            failed.update(dict.fromkeys(wanted[name], _message(problem)))
-            continue
-        done[name] = run.spark.createDataFrame(rows, EVIDENCE)
-    return done, failed
+
+    def __init__(self, run: Run, metrics: Iterable[str]):
+        self._run = run
+        self._failed: Failures = {}
+        self._jobs: dict[str, tuple[list[str], Future]] = {}
+        self._pool = ThreadPoolExecutor(run.config.concurrent_passes)
+        inherit = inheritable_thread_target(run.spark)
+        for name, names in _by_pass(metrics).items():
+            frame, problems = _plan_pass(run, name, names)
+            self._failed.update(problems)
+            if frame is not None:
+                job = self._pool.submit(inherit(frame.collect))
+                self._jobs[name] = (names, job)
+
+    def result(self) -> tuple[DataFrame, Failures]:
+        """The evidence so far as a local DataFrame; waits for all jobs."""
+        rows = []
+        for name, (names, job) in self._jobs.items():
+            try:
+                rows += job.result()
+            except PySparkException as problem:
+                log.warning("pass %s failed: %s", name, _message(problem))
+                self._failed.update(dict.fromkeys(names, _message(problem)))
+        self._pool.shutdown()
+        return self._run.spark.createDataFrame(rows, EVIDENCE), self._failed
 
 
 def _message(problem: Exception) -> str:
     return " ".join(f"{type(problem).__name__}: {problem}".split("\n"))[:600]
 
 
-def _evidence_row(run: Run, frames: Iterable[DataFrame]) -> DataFrame:
+def _union(frames: list[DataFrame]) -> DataFrame:
+    """Pairwise union; a chain of many unions is slow to analyze."""
+    while len(frames) > 1:
+        pairs = zip(frames[::2], frames[1::2], strict=False)
+        odd = frames[-1:] if len(frames) % 2 else []
+        frames = [a.unionByName(b) for a, b in pairs] + odd
+    return frames[0]
+
+
+def _evidence_row(long: DataFrame) -> DataFrame:
     """One row with all measured values and mixes; a few hundred entries in total."""
-    nothing = run.spark.createDataFrame([], EVIDENCE)
-    long = reduce(DataFrame.unionByName, frames, nothing)
     number = F.struct("metric", "value")
     pairs = F.struct("metric", "mix")
     return long.agg(
@@ -115,32 +144,42 @@ def _evidence_row(run: Run, frames: Iterable[DataFrame]) -> DataFrame:
     )
 
 
-def graded(
-    run: Run, ids: Iterable[str] | None = None, isolate: bool = False
-) -> tuple[DataFrame, dict[str, Verdict]]:
-    """The evidence row and a verdict per question over its columns.
+Graded = tuple[DataFrame, dict[str, Verdict]]
 
-    All passes the questions need are planned together and run as one job. With
-    ``isolate`` every pass is its own job, so a pass that fails at run time leaves
-    only its own questions open.
-    """
-    specs = ordered(question_ids() if ids is None else ids)
-    first = {s.question_id: decide(s, run, {}) for s in specs}
-    metrics = set().union(*(used for _, used in first.values())) if first else set()
-    frames, failed = evidence_passes(run, metrics)
-    if isolate:
-        wanted = defaultdict(list)
-        for metric in metrics:
-            wanted[metric.split(".", 1)[0]].append(metric)
-        frames, late = materialize(run, frames, wanted)
-        failed |= late
-    verdicts = {
+
+def _first_verdicts(
+    run: Run, ids: Iterable[str]
+) -> tuple[list[RuleSpec], dict[str, Verdict], dict[str, frozenset[str]]]:
+    specs = ordered(ids)
+    decided = {s.question_id: decide(s, run, {}) for s in specs}
+    return (
+        specs,
+        {q: verdict for q, (verdict, _) in decided.items()},
+        {q: used for q, (_, used) in decided.items()},
+    )
+
+
+def _final_verdicts(
+    run: Run,
+    specs: Iterable[RuleSpec],
+    verdicts: dict[str, Verdict],
+    used: Mapping[str, frozenset[str]],
+    failed: Failures,
+) -> dict[str, Verdict]:
+    return {
         s.question_id: decide(s, run, failed)[0]
-        if failed.keys() & first[s.question_id][1]
-        else first[s.question_id][0]
+        if failed.keys() & used[s.question_id]
+        else verdicts[s.question_id]
         for s in specs
     }
-    return _evidence_row(run, frames.values()), verdicts
+
+
+def lazily_graded(run: Run, ids: Iterable[str]) -> Graded:
+    """The evidence row as one plan over all passes, and a verdict per question."""
+    specs, verdicts, used = _first_verdicts(run, ids)
+    frames, failed = evidence_passes(run, frozenset().union(*used.values()))
+    row = _evidence_row(_union([run.spark.createDataFrame([], EVIDENCE), *frames.values()]))
+    return row, _final_verdicts(run, specs, verdicts, used, failed)
 
 
 def _caveated(run: Run, question_id: str, reason: Column) -> Column:
@@ -160,23 +199,30 @@ def _metrics_json(question_id: str, verdict: Verdict) -> Column:
     )
 
 
-def scorecard(run: Run, ids: Iterable[str] | None = None, isolate: bool = False) -> DataFrame:
+def _card(run: Run, question_id: str, verdict: Verdict) -> Column:
+    return F.struct(
+        F.lit(question_id).alias("question_id"),
+        verdict.status.alias("status"),
+        _caveated(run, question_id, verdict.reason).alias("reason"),
+        _metrics_json(question_id, verdict).alias("metrics_json"),
+    )
+
+
+def scorecard(run: Run, ids: Iterable[str] | None = None) -> DataFrame:
     """One row per question in the shape of the result table, plus report order.
 
-    Columns: run_id, run_timestamp, pillar, question_id, principle, question, status,
-    reason, metrics_json, pillar_ordinal, ordinal.
+    Measures on call; grading is left to the returned DataFrame. Columns: run_id,
+    run_timestamp, pillar, question_id, principle, question, status, reason,
+    metrics_json, pillar_ordinal, ordinal.
     """
-    evidence, verdicts = graded(run, ids, isolate)
-    cards = [
-        F.struct(
-            F.lit(q).alias("question_id"),
-            v.status.alias("status"),
-            _caveated(run, q, v.reason).alias("reason"),
-            _metrics_json(q, v).alias("metrics_json"),
-        )
-        for q, v in verdicts.items()
-    ]
-    rows = evidence.select(F.inline(F.array(*cards)))
+    specs, first, used = _first_verdicts(run, question_ids() if ids is None else ids)
+    measurement = Measurement(run, frozenset().union(*used.values()))
+    cards = {q: _card(run, q, v) for q, v in first.items()}
+    long, failed = measurement.result()
+    for q, verdict in _final_verdicts(run, specs, first, used, failed).items():
+        if verdict is not first[q]:
+            cards[q] = _card(run, q, verdict)
+    rows = _evidence_row(long).select(F.inline(F.array(*cards.values())))
     bank = question_bank(run.spark)
     return rows.join(F.broadcast(bank), "question_id", "left").select(
         F.lit(run.config.run_id).alias("run_id"),
@@ -201,7 +247,7 @@ def answer(run: Run, question_id: str) -> DataFrame:
 
     Only the passes and columns this question needs are planned.
     """
-    evidence, verdicts = graded(run, [question_id])
+    evidence, verdicts = lazily_graded(run, [question_id])
     verdict = verdicts[question_id]
     metrics = [
         c.alias(n) for n, c in verdict.metrics.items() if n not in DERIVED_METRICS
@@ -213,6 +259,4 @@ def answer(run: Run, question_id: str) -> DataFrame:
 
 def mix_rows(run: Run, name: str) -> DataFrame:
     """A top-k measurement as ``(key, n)`` rows."""
-    from posture.operators.evidence import top_k
-
     return top_k(PASSES[name].build(run))

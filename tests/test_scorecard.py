@@ -109,20 +109,13 @@ def test_single_questions_equal_the_fused_run(star_run, card):
         assert alone == {k: fused[k] for k in alone}
 
 
-def test_isolated_passes_give_the_same_answers(star_run, card):
-    ids = ["DG-03-03", "CO-01-07", "PE-03-03", "R-04-03", "DG-02-02"]
-    rows = scorecard(star_run, ids, isolate=True).collect()
-    got = {r["question_id"]: (r["status"], r["reason"], r["metrics_json"]) for r in rows}
-    assert got == {q: (card[q]["status"], card[q]["reason"], card[q]["metrics_json"]) for q in ids}
-
-
 def test_nothing_readable(spark):
     rows = graded(Sources(spark, {}))
     statuses = Counter(r["status"] for r in rows.values())
     assert statuses["completed"] == 0
     assert statuses["in-progress"] == 0
     assert statuses["open"] / len(rows) > 0.85
-    assert all(len(r["reason"]) > 25 for r in rows.values())
+    assert [q for q, r in rows.items() if len(r["reason"]) <= 25] == []
 
 
 def test_everything_empty(spark):
@@ -130,7 +123,7 @@ def test_everything_empty(spark):
     completed = {q for q, r in rows.items() if r["status"] == "completed"}
     assert completed == GOOD_WHEN_EMPTY
     assert {q for q, r in rows.items() if r["status"] == "manual-review"} == set(MANUAL_IDS)
-    assert all(len(r["reason"]) > 25 for r in rows.values())
+    assert [q for q, r in rows.items() if len(r["reason"]) <= 25] == []
 
 
 @pytest.mark.parametrize("missing", ["query.history", "billing.usage", "access.audit"])
