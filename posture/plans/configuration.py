@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from posture import fixed_values as fixed
 from posture.functions.text import filled_json, has_any, lowered
@@ -16,22 +17,31 @@ from posture.operators.evidence import (
     Rows,
     TopK,
 )
-from posture.operators.latest import latest
+from posture.operators.latest import TIE_BREAK, latest
 from posture.operators.run import Run
 from posture.plans.passes import evidence
+from posture.sources.schemas import SCHEMAS
 
 LIVE = "delete_time"
 
 
-def _latest(run: Run, history: DataFrame, key: str, at: str = "change_time", live: str = LIVE):
+def _latest(
+    run: Run, source: str, history: DataFrame, key: str, at: str = "change_time", live: str = LIVE
+) -> DataFrame:
+    """Latest live versions, with only the columns that measurements read.
+
+    Dropping the others first keeps them out of the scan and out of the tie-break.
+    """
+    known = {f.name for f in T.StructType.fromDDL(SCHEMAS[source])} | {TIE_BREAK}
+    narrow = history.select(*(c for c in history.columns if c in known))
     return latest(
-        history, key, at, F.col(live).isNull(), run.config.rank_before_live_filter
+        narrow, key, at, F.col(live).isNull(), run.config.rank_before_live_filter
     )
 
 
 @evidence("jobs", "lakeflow.jobs")
 def jobs(run: Run) -> Pass:
-    frame = _latest(run, run.sources.frame("lakeflow.jobs"), "job_id")
+    frame = _latest(run, "lakeflow.jobs", run.sources.frame("lakeflow.jobs"), "job_id")
     name = lowered(F.col("name"))
     triggers = ("schedule", "file_arrival", "periodic", "table_update", "continuous")
     triggered = F.lit(False)
@@ -89,7 +99,9 @@ def pipeline_versions(run: Run) -> Pass:
 
 @evidence("pipelines", "lakeflow.pipelines")
 def pipelines(run: Run) -> Pass:
-    frame = _latest(run, run.sources.frame("lakeflow.pipelines"), "pipeline_id")
+    frame = _latest(
+        run, "lakeflow.pipelines", run.sources.frame("lakeflow.pipelines"), "pipeline_id"
+    )
     return Pass(
         frame,
         {
@@ -102,7 +114,9 @@ def pipelines(run: Run) -> Pass:
 
 
 def _recent_clusters(run: Run) -> DataFrame:
-    return _latest(run, run.recent("compute.clusters", "change_time"), "cluster_id")
+    return _latest(
+        run, "compute.clusters", run.recent("compute.clusters", "change_time"), "cluster_id"
+    )
 
 
 @evidence("clusters", "compute.clusters")
@@ -149,7 +163,9 @@ def node_types(run: Run) -> TopK:
 
 @evidence("warehouses", "compute.warehouses")
 def warehouses(run: Run) -> Pass:
-    frame = _latest(run, run.sources.frame("compute.warehouses"), "warehouse_id")
+    frame = _latest(
+        run, "compute.warehouses", run.sources.frame("compute.warehouses"), "warehouse_id"
+    )
     return Pass(
         frame,
         {
@@ -169,7 +185,14 @@ def storage(run: Run) -> Pass:
     history = run.scope.restrict(
         run.sources.frame("storage.table_metrics_history"), "catalog_name", "schema_name"
     )
-    frame = _latest(run, history, "table_id", "snapshot_date", "table_dropped_time")
+    frame = _latest(
+        run,
+        "storage.table_metrics_history",
+        history,
+        "table_id",
+        "snapshot_date",
+        "table_dropped_time",
+    )
     setting = lowered(F.col("predictive_optimization_enabled"))
     with_files = F.coalesce("active_files", F.lit(0)) > 0
     file_bytes = F.when(with_files, F.try_divide("active_bytes", "active_files"))

@@ -14,7 +14,6 @@ from posture.functions.grading import (
     percent_text,
     rounded,
     sentence,
-    signal_count,
     whole,
 )
 from posture.plans.rules import Evidence, Verdict, manual, question
