@@ -5,14 +5,14 @@ text, whole and in chunks of ``CHUNK`` bytes so that the dictionaries weigh the
 long text as in a short one, is compressed with each; the difference of the compressed
 sizes over the uncompressed size is the one feature. A logistic curve fitted on labelled
 texts that neither dictionary has seen makes it a probability, with the classes weighted as
-they occur among the labels.
+they occur among the labels. A text of n bytes is judged by n / (n + ``WEAK``) of the curve's
+log-odds and for the rest by the share of good texts: a few bytes tell nothing.
 
 Learning takes at most ``TRAIN_DOCS`` labelled rows of each class, chosen by a hash of the
 id, and from these at most ``TRAIN_CHUNKS`` chunks a dictionary: bounds for the cost of
 learning only. Every whole text is scored.
 
-Defined results: NULL and empty texts have difference 0 and the score of the curve there;
-without labels of both classes every score is the share of class 1, or 0.5; rows of
+Defined results: NULL and empty texts score the share of good texts; without labels of both classes every score is the share of class 1, or 0.5; rows of
 ``labels`` with NULL are not learnt from, repeated ones count each; NULL ids are never
 learnt from; repeated documents get equal scores; other columns are ignored.
 """
@@ -28,15 +28,18 @@ from pyspark.sql import functions as F
 
 from posture.llm.common import remainder, table
 
-CHUNK = 2048
+CHUNK = 512
 DICTIONARY = 64 * 1024
 LEVEL = 3
 TRAIN_DOCS = 3_000
-TRAIN_CHUNKS = 4_000
+TRAIN_CHUNKS = 16_000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
-Model = tuple[bytes, bytes, float, float]
+WEAK = 64.0
+
+#: Dictionaries of good and bad texts; slope, intercept and prior log-odds.
+Model = tuple[bytes, bytes, float, float, float]
 
 
 def chunks(text: str) -> list[bytes]:
@@ -55,14 +58,15 @@ def _compressor(dictionary: bytes):
     )
 
 
-def difference(text: str, good: bytes, bad: bytes) -> float:
-    """Bytes that the bad dictionary needs more, per byte of the text."""
+def measures(text: str, good: bytes, bad: bytes) -> tuple[float, float]:
+    """Bytes that the bad dictionary needs more, per byte of the text; how much that weighs."""
     parts = chunks(text)
-    if not parts:
-        return 0.0
+    size = sum(map(len, parts))
+    if not size:
+        return 0.0, 0.0
     with_good, with_bad = _compressor(good).compress, _compressor(bad).compress
     more = sum(len(with_bad(p)) - len(with_good(p)) for p in parts)
-    return more / sum(map(len, parts))
+    return more / size, size / (size + WEAK)
 
 
 def build_dictionary(samples: list[bytes]) -> bytes:
@@ -74,14 +78,17 @@ def build_dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:]
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, with a small ridge on the slope."""
+def fit_curve(
+    x: np.ndarray, sure: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float
+) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve, by Newton steps with a trace of ridge."""
     scale = float(np.abs(x).max()) or 1.0
-    design = np.column_stack((x / scale, np.ones(len(x))))
+    design = np.column_stack((x / scale, np.ones(len(x)))) * sure[:, None]
+    given = prior * (1 - sure)
     beta = np.zeros(2)
-    ridge = np.diag([1e-3, 1e-6]) * weight.sum()
+    ridge = np.diag([1e-5, 1e-6]) * weight.sum()
     for _ in range(50):
-        p = 1.0 / (1.0 + np.exp(-np.clip(design @ beta, -30, 30)))
+        p = 1.0 / (1.0 + np.exp(-np.clip(design @ beta + given, -30, 30)))
         gradient = design.T @ (weight * (y - p)) - ridge @ beta
         curvature = design.T @ (design * (weight * p * (1 - p))[:, None]) + ridge
         step = np.linalg.solve(curvature, gradient)
@@ -100,7 +107,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     if not counts.get(0) or not counts.get(1):
         share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return b"", b"", 0.0, math.log(share / (1 - share))
+        return b"", b"", 0.0, 0.0, math.log(share / (1 - share))
     drawn = None
     for value in (0, 1):
         part = (
@@ -130,36 +137,46 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         taken = [bytes(r["part"]) for r in rows.limit(TRAIN_CHUNKS).select("part").collect()]
         dictionaries.append(build_dictionary(taken))
     good, bad = dictionaries
-    measured = with_difference(labelled.filter(~even), good, bad).select("__y", "__x").collect()
-    if len({r["__y"] for r in measured}) < 2:
-        measured = with_difference(labelled, good, bad).select("__y", "__x").collect()
-    x = np.array([r["__x"] for r in measured])
-    y = np.array([r["__y"] for r in measured], dtype=float)
+    columns = ("__y", "__x", "__sure")
+    measured = with_measures(labelled.filter(~even), good, bad).select(*columns).toPandas()
+    if measured["__y"].nunique() < 2:
+        measured = with_measures(labelled, good, bad).select(*columns).toPandas()
+    y = measured["__y"].to_numpy(dtype=float)
     seen = {v: max(1, int((y == v).sum())) for v in (0, 1)}
-    total = counts[0] + counts[1]
-    weight = np.where(y == 1, counts[1] / total / seen[1], counts[0] / total / seen[0]) * len(y)
-    slope, intercept = fit_curve(x, y, weight)
-    return good, bad, slope, intercept
+    weight = np.where(y == 1, counts[1] / seen[1], counts[0] / seen[0])
+    weight = weight * (len(y) / weight.sum()) if len(y) else weight
+    prior = math.log(counts[1] / counts[0])
+    if not len(y):
+        return b"", b"", 0.0, 0.0, prior
+    x, sure = measured["__x"].to_numpy(), measured["__sure"].to_numpy()
+    return good, bad, *fit_curve(x, sure, y, weight, prior), prior
 
 
-def with_difference(docs: DataFrame, good: bytes, bad: bytes) -> DataFrame:
+def with_measures(docs: DataFrame, good: bytes, bad: bytes) -> DataFrame:
+    """The documents with the difference ``__x`` and its weight ``__sure``."""
     if not good:
-        return docs.withColumn("__x", F.lit(0.0))
+        return docs.withColumn("__x", F.lit(0.0)).withColumn("__sure", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast((good, bad))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("x double, sure double")
     def measure(texts):
-        return texts.map(lambda t: difference(t or "", *shared.value)).astype(float)
+        import pandas as pd
+
+        return pd.DataFrame(
+            [measures(t or "", *shared.value) for t in texts], columns=["x", "sure"], dtype=float
+        )
 
-    return docs.withColumn("__x", measure(F.coalesce("text", F.lit(""))))
+    found = docs.withColumn("__m", measure(F.coalesce("text", F.lit(""))))
+    return found.withColumns({"__x": F.col("__m")["x"], "__sure": F.col("__m")["sure"]}).drop("__m")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with ``__score``, the probability of a good text."""
-    good, bad, slope, intercept = model
-    found = with_difference(docs, good, bad)
-    curve = 1.0 / (1.0 + F.exp(-(F.lit(slope) * F.col("__x") + F.lit(intercept))))
-    return found.withColumn("__score", curve).drop("__x")
+    good, bad, slope, intercept, prior = model
+    found = with_measures(docs, good, bad)
+    told = F.lit(slope) * F.col("__x") + F.lit(intercept)
+    odds = F.col("__sure") * told + (1 - F.col("__sure")) * F.lit(prior)
+    return found.withColumn("__score", 1.0 / (1.0 + F.exp(-odds))).drop("__x", "__sure")
 
 
 def _learnt(spark: SparkSession, sf_dir: str) -> Model:
