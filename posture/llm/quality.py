@@ -4,17 +4,19 @@ A zstandard dictionary is built from texts labelled good and one from texts labe
 text, whole and in chunks of ``CHUNK`` bytes so that the dictionaries weigh the same in a
 long text as in a short one, is compressed with each; the difference of the compressed
 sizes over the uncompressed size is the one feature. A logistic curve fitted on labelled
-texts that neither dictionary has seen makes it a probability, with the classes weighted as
-they occur among the labels. A text of n bytes is judged by n / (n + ``WEAK``) of the curve's
-log-odds and for the rest by the share of good texts: a few bytes tell nothing.
+texts that neither dictionary has seen makes it a probability, with the classes weighted by
+the square root of their shares among the labels, so that the rarer one is not drowned. A
+text of n bytes is judged by n / (n + ``WEAK``) of the curve's log-odds and for the rest by
+the share of good texts: a few bytes tell nothing.
 
 Learning takes at most ``TRAIN_DOCS`` labelled rows of each class, chosen by a hash of the
 id, and from these at most ``TRAIN_CHUNKS`` chunks a dictionary: bounds for the cost of
 learning only. Every whole text is scored.
 
-Defined results: NULL and empty texts score the share of good texts; without labels of both classes every score is the share of class 1, or 0.5; rows of
-``labels`` with NULL are not learnt from, repeated ones count each; NULL ids are never
-learnt from; repeated documents get equal scores; other columns are ignored.
+Defined results: NULL and empty texts score the share of good texts; without labels of both
+classes every score is the share of class 1, or 0.5; rows of ``labels`` with NULL are not
+learnt from, repeated ones count each; NULL ids are never learnt from; repeated documents
+get equal scores; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -143,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         measured = with_measures(labelled, good, bad).select(*columns).toPandas()
     y = measured["__y"].to_numpy(dtype=float)
     seen = {v: max(1, int((y == v).sum())) for v in (0, 1)}
-    weight = np.where(y == 1, counts[1] / seen[1], counts[0] / seen[0])
+    weight = np.where(y == 1, math.sqrt(counts[1]) / seen[1], math.sqrt(counts[0]) / seen[0])
     weight = weight * (len(y) / weight.sum()) if len(y) else weight
     prior = math.log(counts[1] / counts[0])
     if not len(y):

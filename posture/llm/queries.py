@@ -14,6 +14,7 @@ from posture.llm.packing import op5_packing
 from posture.llm.pages import op2_html_extraction
 from posture.llm.quality import op10_quality_classifier
 from posture.llm.simhash import op4_simhash_near_dedup
+from posture.llm.substrings import OP9_SQL, op9_substring_dedup
 from posture.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op1_document_fingerprints": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }

@@ -11,7 +11,8 @@ Marks are counted by label on the executors; the ``MARKS`` that tell a label bes
 (by the z score of the difference of two shares) are the features of the chain. Training
 takes at most ``TRAIN_DOCS`` labelled rows with a positive label and as many others, chosen
 by a hash of the id: a bound for learning only, every whole text is scored. Rows are
-weighted back to the shares in which they occur.
+weighted halfway back to the shares in which they occur (square root), so that the rarer
+label is not drowned.
 
 Defined results: NULL and empty texts have no marks and get the curve's value there; a label
 column without both values gives its share as a constant; NULL labels leave a row out of
@@ -41,8 +42,8 @@ BEGINNINGS = (4, 5, 6, 7)
 SHARED_BY = (1, 2, 4)
 OOF_FOLDS = 3
 FOLDS, HELD_OUT = 5, 0
-THRESHOLD = 0.5
-RIDGE = 1e-3
+THRESHOLD = 0.35
+RIDGE = 3e-4
 KNOWN_WORDS = 300_000
 #: Fixed value: words, and runs of ASCII signs between them, after A-Z are lower-cased.
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[!-/:-@\[-`{-~]+")
@@ -203,7 +204,9 @@ def training_texts(docs: DataFrame, labels: DataFrame, chain) -> tuple[DataFrame
     texts = docs.select(F.col("doc_id").cast("bigint").alias("__doc"), "text")
     # At most 2 x TRAIN_DOCS rows of a few numbers are broadcast.
     joined = texts.join(F.broadcast(drawn), F.col("__doc") == F.col("__id"))
-    return joined.drop("__id"), [max(1.0, counts.get(v, 0) / TRAIN_DOCS) for v in (0, 1)]
+    return joined.drop("__id"), [
+        max(1.0, counts.get(v, 0) / TRAIN_DOCS) ** 0.5 for v in (0, 1)
+    ]
 
 
 def choose_marks(rows: DataFrame, names: list[str]) -> list[str]:
