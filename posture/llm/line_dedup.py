@@ -4,9 +4,9 @@ Every line becomes a narrow row (two 64-bit hashes of its key, document, positio
 rows are partitioned by *range* of (hash, document) and sorted by (hash, document,
 position), so that a line held by a third of all documents is spread over many
 partitions instead of one. A task streams its rows once. A hash whose run lies inside
-the partition is decided there. The first and the last run of a partition may go on
-next door: their rows are passed on undecided, with one summary row each, at most two
-a partition; the summaries are added up and joined back.
+a batch is decided there. The first and the last run of a batch may go on next door: unless
+they are long enough by themselves their rows are passed on undecided, with one summary row
+each; the summaries are added up and joined back.
 
 What comes out is no text but, per document with dropped lines, a compressed bitmap of
 the lines to keep.
@@ -97,8 +97,9 @@ def _rows(kind: int, part: pa.Table, n_docs: np.ndarray | None = None) -> pa.Rec
 def _stream(min_docs: int, keep_first: bool):
     """Decide closed runs, pass on open ones. Only a run's flags are held, never a group.
 
-    A run longer than a batch is passed on undecided, piece by piece, so that no run has to
-    fit in memory.
+    A run longer than a batch is taken piece by piece, so that no run has to fit in memory.
+    A piece that lies in enough documents itself is decided, whatever lies next door, but
+    for its first row where first occurrences stay: of a frequent line hardly a row is open.
     """
 
     def summarised(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -125,10 +126,10 @@ def _stream(min_docs: int, keep_first: bool):
             open_run = np.zeros(len(starts), dtype=bool)
             open_run[[0, -1]] = True
             of_row = np.repeat(np.arange(len(starts)), ends - starts)
-            drop = ~open_run & (per_run >= min_docs)
-            dropped = drop[of_row] & ~(is_first & keep_first)
-            yield _rows(DROP, part.filter(pa.array(dropped)))
-            undecided = open_run[of_row]
+            many = (per_run >= min_docs)[of_row]
+            edge_row = open_run[of_row]
+            yield _rows(DROP, part.filter(pa.array(many & ~(is_first & keep_first))))
+            undecided = edge_row & (~many | is_first) if keep_first else edge_row & ~many
             yield _rows(UNDECIDED, part.filter(pa.array(undecided)))
             edge = np.flatnonzero(open_run)
             yield _rows(SUMMARY, part.take(pa.array(starts[edge])), per_run[edge])
