@@ -247,7 +247,7 @@ def row_key(pages: DataFrame) -> Column:
 
 
 def line_hashes(pages: DataFrame) -> DataFrame:
-    """(key, host, path, lines) with a 64-bit hash per text line."""
+    """(key, host, path, lines) of pages with text, with a 64-bit hash per line."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -273,7 +273,7 @@ def line_hashes(pages: DataFrame) -> DataFrame:
         row_key(pages).alias("key"), _host(url).alias("host"), _path(url).alias("path"), "html"
     )
     scanned = narrow.mapInArrow(scan, "key bigint, host string, path string, lines array<bigint>")
-    return scanned.dropDuplicates(["key"])
+    return scanned.filter(F.size("lines") > 0).dropDuplicates(["key"])
 
 
 def partners(lines: DataFrame) -> DataFrame:

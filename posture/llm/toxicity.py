@@ -220,7 +220,7 @@ def choose_marks(rows: DataFrame, names: list[str]) -> list[str]:
             for key, text in zip(keys, texts_of(batch), strict=True):
                 seen.setdefault(key, Counter()).update(marks(text))
             for key, found in seen.items():
-                columns = [pa.array(list(found)), pa.array(list(found.values()), pa.int64())]
+                columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
                 columns += [pa.array([v] * len(found), pa.int32()) for v in key]
                 yield pa.RecordBatch.from_arrays(columns, names=["mark", "n", *flags])
 
