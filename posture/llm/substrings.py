@@ -13,11 +13,11 @@ Only suffixes that can share a window are put into trees:
    and sorted, so an anchor of any frequency is spread. A task streams them: a stretch
    equal to an earlier one repeats it as a whole; an anchor met once has no repeat; the first
    of each different stretch of an anchor, and those at the edges of a batch, are left open.
-3. *Prefix groups.* The suffixes that begin in open stretches are fetched from the texts, once
-   per partition of documents, and partitioned by their prefix: the anchor, or all
-   ``WINDOW`` words for an anchor with more than ``HEAVY`` open stretches. Suffixes that one
-   partition of documents already has are dropped there, so a passage held by a third of all
-   documents arrives once per partition.
+3. *Prefix groups.* The suffixes that begin in open stretches are fetched from the texts and
+   partitioned by their prefix: the anchor, or all ``WINDOW`` words for an anchor with more
+   than ``HEAVY`` open stretches. Of equal suffixes that a task fetches within ``GROUP`` of
+   each other only the earliest is sent on, so a passage held by a third of all documents
+   arrives once per that many.
 4. *Trees.* A task gathers whole prefix groups up to ``GROUP`` suffixes and builds their
    suffix tree, as sorted suffixes with the lengths of their common prefixes; a run of common
    prefixes of ``WINDOW`` words is a deep internal node. Its earliest leaf stays, the others
@@ -42,8 +42,8 @@ from posture.llm.common import durable, ship, slices, table, text_or_empty
 
 WINDOW = 20
 ANCHOR = 6
-HEAVY = 20_000
-GROUP = 100_000
+HEAVY = 2_000
+GROUP = 30_000
 KNOWN_WORDS = 300_000
 NOBODY = -(1 << 63)
 REPEAT, OPEN = 0, 1
@@ -177,43 +177,46 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def deep_nodes(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def deep_nodes(suffixes: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes, and True where one shares all words with the one before.
 
     Sorted suffixes with the lengths of their common prefixes are the suffix tree; runs of
-    whole-window prefixes are its deep internal nodes.
+    whole-window prefixes are its deep internal nodes. Leaves of a node come in the order of
+    ``place``.
     """
-    order = np.lexsort(suffixes.T[::-1])
+    order = np.lexsort((*place[::-1], *suffixes.T[::-1]))
     ranked = suffixes[order]
     common = np.zeros(len(order), dtype=bool)
     common[1:] = (ranked[1:] == ranked[:-1]).all(axis=1)
     return order, common
 
 
-def _repeats(group: np.ndarray, words: list[list], ids, tag, start, n) -> list[np.ndarray]:
+def _repeats(group: list[int], words: list[list], ids, tag, start, n) -> list[np.ndarray]:
     """Per region, which of its windows start earlier elsewhere (in the same prefix group)."""
     numbers: dict = {}
-    rows, region, at = [], [], []
+    groups: dict = {}
+    total = sum(n)
+    suffixes = np.empty((total, WINDOW + 1), dtype=np.int32)
+    region = np.repeat(np.arange(len(n)), n)
+    at = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+    row = 0
     for r, found in enumerate(words):
-        coded = np.array([numbers.setdefault(w, len(numbers)) for w in found], dtype=np.int64)
-        seen = np.lib.stride_tricks.sliding_window_view(coded, WINDOW)
-        rows.append(np.column_stack((np.full(len(seen), group[r]), seen)))
-        region.append(np.full(len(seen), r))
-        at.append(np.arange(len(seen)))
-    suffixes, region, at = np.concatenate(rows), np.concatenate(region), np.concatenate(at)
-    # Leaves come in document order, so the first of a node's run is the earliest.
+        coded = np.array([numbers.setdefault(w, len(numbers)) for w in found], dtype=np.int32)
+        suffixes[row : row + n[r], 0] = groups.setdefault(group[r], len(groups))
+        suffixes[row : row + n[r], 1:] = np.lib.stride_tricks.sliding_window_view(coded, WINDOW)
+        row += n[r]
     ids, tag, start = np.asarray(ids), np.asarray(tag), np.asarray(start)
-    place = np.lexsort((start[region] + at, tag[region], ids[region]))
-    suffixes, region, at = suffixes[place], region[place], at[place]
-    order, common = deep_nodes(suffixes)
-    head = np.flatnonzero(~common)[np.cumsum(~common) - 1]
-    r, a = region[order], at[order]
-    here = np.column_stack((ids[r], tag[r], start[r] + a))
-    later = common & (here != here[head]).any(axis=1)
-    found = [np.zeros(k, dtype=bool) for k in n]
-    for i in np.flatnonzero(later):
-        found[r[i]][a[i]] = True
-    return found
+    own = (ids[region], tag[region], start[region] + at)
+    order, common = deep_nodes(suffixes, *own)
+    del suffixes
+    # The first leaf of a node is the earliest; equal places are one document, read twice.
+    head = order[np.flatnonzero(~common)[np.cumsum(~common) - 1]]
+    later = np.zeros(len(order), dtype=bool)
+    for column in own:
+        later |= column[order] != column[head]
+    found = np.zeros(total, dtype=bool)
+    found[order[common & later]] = True
+    return np.split(found, np.cumsum(n)[:-1])
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -240,55 +243,59 @@ class _Out:
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes of the open stretches; those that this batch holds twice are settled here."""
-    import xxhash
+class _Gathered:
+    """Regions held by a task until they are enough for a tree."""
 
-    for batch in slices(batches):
-        group, words, ids, tags, starts, ns, heavy = [], [], [], [], [], [], []
-        for at, text in enumerate(batch.column("text").to_pylist()):
-            split = words_of(text)
-            for part in batch.column("parts")[at].as_py():
-                begin, n = part["start"], part["n"]
-                group.append(part["anchor"])
-                words.append(split[begin : begin + n + WINDOW - 1])
-                ids.append(batch.column("id")[at].as_py())
-                tags.append(batch.column("tag")[at].as_py())
-                starts.append(begin)
-                ns.append(n)
-                heavy.append(part["heavy"])
-        out = _Out()
-        if words:
-            again = _repeats(np.array(group), words, ids, tags, starts, ns)
-            for r, flags in enumerate(again):
-                for a, b in _runs(flags):
-                    out.add(REPEAT, starts[r] + a, ids[r], tags[r], starts[r] + a, b - a, None)
-                for a, b in _runs(~flags):
-                    cuts = [(x, x + 1) for x in range(a, b)] if heavy[r] else [(a, b)]
-                    for x, y in cuts:
-                        found = b" ".join(words[r][x : y + WINDOW - 1])
-                        prefix = group[r]
-                        if heavy[r]:
-                            prefix = xxhash.xxh64_intdigest(found) - (1 << 63)
-                        text = found.decode("utf-8", "surrogatepass")
-                        out.add(OPEN, prefix, ids[r], tags[r], starts[r] + x, y - x, text)
-        yield out.batch()
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.size = 0
 
+    def add(self, prefix: int, id_: int, tag: int, start: int, n: int, words: list, heavy=False):
+        self.rows.append((prefix, id_, tag, start, n, words, heavy))
+        self.size += n
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats among the suffixes of whole prefix groups; settled rows pass through."""
-    gathered: list[tuple] = []
-    size = 0
+    def settle(self, keep_rest: bool) -> pa.RecordBatch:
+        """Repeats among the regions and, if asked for, the windows that are left."""
+        import xxhash
 
-    def build() -> pa.RecordBatch:
         out = _Out()
-        group, ids, tags, starts, ns, words = (list(x) for x in zip(*gathered, strict=True))
-        again = _repeats(np.array(group), words, ids, tags, starts, ns)
+        rows, self.rows, self.size = self.rows, [], 0
+        if not rows:
+            return out.batch()
+        prefix, ids, tags, starts, ns, words, heavy = (list(x) for x in zip(*rows, strict=True))
+        again = _repeats(prefix, words, ids, tags, starts, ns)
         for r, flags in enumerate(again):
             for a, b in _runs(flags):
-                out.add(REPEAT, group[r], ids[r], tags[r], starts[r] + a, b - a, None)
+                out.add(REPEAT, starts[r] + a, ids[r], tags[r], starts[r] + a, b - a, None)
+            for a, b in _runs(~flags) if keep_rest else ():
+                cuts = [(x, x + 1) for x in range(a, b)] if heavy[r] else [(a, b)]
+                for x, y in cuts:
+                    found = b" ".join(words[r][x : y + WINDOW - 1])
+                    key = xxhash.xxh64_intdigest(found) - (1 << 63) if heavy[r] else prefix[r]
+                    text = found.decode("utf-8", "surrogatepass")
+                    out.add(OPEN, key, ids[r], tags[r], starts[r] + x, y - x, text)
         return out.batch()
 
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes of the open stretches; those that a task holds twice at a time are settled."""
+    held = _Gathered()
+    for batch in batches:
+        ids, tags = batch.column("id").to_pylist(), batch.column("tag").to_pylist()
+        for at in range(batch.num_rows):
+            split = words_of(batch.column("text")[at].as_py())
+            for part in batch.column("parts")[at].as_py():
+                begin, n = part["start"], part["n"]
+                found = split[begin : begin + n + WINDOW - 1]
+                held.add(part["anchor"], ids[at], tags[at], begin, n, found, part["heavy"])
+                if held.size >= GROUP:
+                    yield held.settle(keep_rest=True)
+    yield held.settle(keep_rest=True)
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeats among the suffixes of whole prefix groups; settled rows pass through."""
+    held = _Gathered()
     for batch in batches:
         settled = pa.compute.equal(batch.column("kind"), REPEAT)
         yield batch.filter(settled)
@@ -296,13 +303,10 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for prefix, id_, tag, start, n, words in zip(
             *(rows[c] for c in ("prefix", "id", "tag", "start", "n", "words")), strict=True
         ):
-            if size >= GROUP and gathered[-1][0] != prefix:
-                yield build()
-                gathered, size = [], 0
-            gathered.append((prefix, id_, tag, start, n, words.encode("utf-8").split()))
-            size += n
-    if gathered:
-        yield build()
+            if held.size >= GROUP and held.rows[-1][0] != prefix:
+                yield held.settle(keep_rest=False)
+            held.add(prefix, id_, tag, start, n, words.encode("utf-8").split())
+    yield held.settle(keep_rest=False)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
