@@ -255,10 +255,11 @@ add(
         zerobus=rows("x_zerobus_stream"),
     ),
 )
-CLIENTS = (
+ALL_CLIENTS = (
     "SELECT client_application AS key, count(*) AS n FROM x_queries"
-    " WHERE client_application IS NOT NULL GROUP BY 1 ORDER BY n DESC, key LIMIT 10"
+    " WHERE client_application IS NOT NULL GROUP BY 1"
 )
+CLIENTS = f"{ALL_CLIENTS} ORDER BY n DESC, key LIMIT 10"
 PARTNERS = (
     "tableau|power bi|powerbi|looker|qlik|sigma|thoughtspot|dbt|fivetran|informatica|talend"
     "|matillion|alteryx|sap|collibra|alation|atlan|hightouch|census|airbyte|excel|datadog|hex"
@@ -269,12 +270,12 @@ add(
     "CASE WHEN attributed_queries = 0 THEN 'open' WHEN partners = 0 THEN 'in-progress'"
     " ELSE 'completed' END",
     fields(
-        partners=one("count(*)", f"({CLIENTS}) WHERE regexp_matches(lower(key), '{PARTNERS}')"),
+        partners=one("count(*)", f"({ALL_CLIENTS}) WHERE regexp_matches(lower(key), '{PARTNERS}')"),
         partner_queries=one(
             "CAST(coalesce(sum(n), 0) AS BIGINT)",
-            f"({CLIENTS}) WHERE regexp_matches(lower(key), '{PARTNERS}')",
+            f"({ALL_CLIENTS}) WHERE regexp_matches(lower(key), '{PARTNERS}')",
         ),
-        attributed_queries=one("CAST(coalesce(sum(n), 0) AS BIGINT)", f"({CLIENTS})"),
+        attributed_queries=one("CAST(coalesce(sum(n), 0) AS BIGINT)", f"({ALL_CLIENTS})"),
     ),
 )
 add(
@@ -1379,16 +1380,17 @@ add(
     ),
 )
 add("CO-01-06", RATIO, SERVERLESS_SHARE)
-NODE_TYPES = (
+ALL_NODE_TYPES = (
     "SELECT coalesce(worker_node_type, 'unknown') AS key, count(*) AS n FROM x_latest_clusters"
-    " GROUP BY 1 ORDER BY n DESC, key LIMIT 8"
+    " GROUP BY 1"
 )
+NODE_TYPES = f"{ALL_NODE_TYPES} ORDER BY n DESC, key LIMIT 8"
 add(
     "CO-01-07",
     none_is_good(),
     "SELECT CAST(coalesce(sum(n) FILTER (WHERE regexp_matches(lower(key),"
     " 'd3|d4|e4|d5|e5|m5|m6|r5|r6|c5|c6|i3en|i4|n2|e2|c3|m7|r7|c7')), 0) AS BIGINT)"
-    f" AS numerator, CAST(coalesce(sum(n), 0) AS BIGINT) AS denominator FROM ({NODE_TYPES})",
+    f" AS numerator, CAST(coalesce(sum(n), 0) AS BIGINT) AS denominator FROM ({ALL_NODE_TYPES})",
 )
 add(
     "CO-01-08",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date, timedelta
+
 from oracle.questions import BODIES, question_sql
 from oracle.views import VIEWS, with_views
 
@@ -75,10 +78,20 @@ def report_sql(name: str) -> str:
     return with_views(REPORTS[name])
 
 
-def history_sql(question_id: str, earlier_window: str) -> str:
-    """A usage question at AS_OF and at an earlier time (only the window differs)."""
+def earlier(sql: str, days: int) -> str:
+    """The same statement ``days`` before AS_OF: all of its dates move."""
+
+    def moved(found: re.Match) -> str:
+        return (date.fromisoformat(found[0]) - timedelta(days)).isoformat()
+
+    bounds = "2024-01-31|2024-01-24|2024-01-01|2023-12-02|2023-11-02"
+    return re.sub(bounds, moved, sql)
+
+
+def history_sql(question_id: str, days: int) -> str:
+    """A question at AS_OF and some days before."""
     now = question_sql(question_id)
-    before = now.replace("DATE '2023-11-02'", f"DATE '{earlier_window}'")
+    before = earlier(now, days)
     return (
         f"SELECT 'now' AS run_id, status, numerator, denominator FROM ({now}) UNION ALL"
         f" SELECT 'before' AS run_id, status, numerator, denominator FROM ({before})"
@@ -105,6 +118,7 @@ OPERATORS = {
         " (PARTITION BY job_id ORDER BY change_time DESC, version DESC) = 1)"
         " WHERE delete_time IS NULL"
     ),
+    "latest_jobs_past": earlier(with_views("SELECT job_id, version FROM x_latest_jobs"), 31),
     "latest_table_snapshots": with_views("SELECT table_id, version FROM x_latest_storage"),
     "inventory_counts": with_views(
         "SELECT collection AS key, count(*) AS n FROM x_workspace_inventory GROUP BY 1"

@@ -9,6 +9,7 @@ from posture.sources.star_telemetry import FLAT, flat_sql
 RENAMED = {"ai_gateway.usage": "x_gateway"}
 FIVE = "unnest([0, 1, 2, 3, 4])"
 
+AS_OF_DAY, AS_OF_TIME = "DATE '2024-01-31'", "TIMESTAMP '2024-01-31 00:00:00'"
 WINDOW_DAY = "DATE '2023-11-02'"
 WINDOW_TIME = "TIMESTAMP '2023-11-02 00:00:00'"
 DAY_30, DAY_60 = "DATE '2024-01-01'", "DATE '2023-12-02'"
@@ -41,8 +42,42 @@ S = in_scope()
 S2 = in_scope("catalog_name", "schema_name")
 BASE = f"{S} AND table_type <> 'VIEW'"
 
+# When a row of a source came to be; nothing later than AS_OF is seen.
+BEGUN = {
+    "access.audit": "event_date", "access.table_lineage": "event_date",
+    "access.column_lineage": "event_date", "access.assistant_events": "event_time",
+    "access.outbound_network": "event_time", "billing.usage": "usage_date",
+    "compute.clusters": "change_time", "compute.warehouses": "change_time",
+    "compute.node_timeline": "start_time", "compute.instance_events": "event_time",
+    "compute.warehouse_events": "event_time", "query.history": "start_time",
+    "lakeflow.jobs": "change_time", "lakeflow.job_run_timeline": "period_start_time",
+    "lakeflow.pipelines": "change_time",
+    "lakeflow.pipeline_update_timeline": "update_start_time",
+    "mlflow.runs_latest": "start_time", "mlflow.run_metrics_history": "metric_time",
+    "serving.endpoint_usage": "request_time", "ai_gateway.usage": "request_time",
+    "storage.table_metrics_history": "snapshot_date",
+    "storage.predictive_optimization_operations_history": "start_time",
+}
+ENDED = ("delete_time", "endpoint_delete_time", "table_dropped_time")
+
+
+def _at_as_of(source: str) -> str:
+    """The source as it was at AS_OF: later rows unseen, later deletions undone."""
+    sql = flat_sql(source, FIVE)
+    columns = FLAT[source][1]
+    undone = ", ".join(
+        f"CASE WHEN {c} <= {AS_OF_TIME} THEN {c} END AS {c}" for c in ENDED if c in columns
+    )
+    shown = f"* REPLACE ({undone})" if undone else "*"
+    begun = BEGUN.get(source)
+    if begun is None:
+        return f"SELECT {shown} FROM ({sql})" if undone else sql
+    end = AS_OF_DAY if begun.endswith("_date") else AS_OF_TIME
+    return f"SELECT {shown} FROM ({sql}) WHERE {begun} IS NULL OR {begun} <= {end}"
+
+
 # Later views may use earlier ones.
-VIEWS: dict[str, str] = {view_name(s): flat_sql(s, FIVE) for s in FLAT}
+VIEWS: dict[str, str] = {view_name(s): _at_as_of(s) for s in FLAT}
 VIEWS["x_own_catalogs"] = (
     "SELECT * FROM x_catalogs WHERE NOT (lower(catalog_name) LIKE 'system' OR"
     " lower(catalog_name) LIKE 'samples')"

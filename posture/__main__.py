@@ -26,10 +26,24 @@ def main() -> None:
     parser.add_argument("--lookback-days", type=int, default=90)
     parser.add_argument("--complete-at", type=float, default=0.80)
     parser.add_argument("--run-id")
+    lists = {
+        "production_patterns": "LIKE patterns of production catalogs",
+        "excluded_schemas": "LIKE patterns of schemas to leave out",
+        "system_catalogs": "LIKE patterns of the platform's own catalogs",
+        "exclude_principals": "principals whose activity is left out",
+        "schema_services": "LIKE patterns of audited services that alter schemas",
+        "sql_products": "LIKE patterns of the SQL product in billing",
+    }
+    for name, meaning in lists.items():
+        parser.add_argument(f"--{name.replace('_', '-')}", nargs="*", help=meaning)
+    parser.add_argument(
+        "--no-probe", action="store_true", help="do not read a row of each source first"
+    )
     parser.add_argument("--areas", nargs="*", choices=list(PILLARS))
     options = parser.parse_args()
 
     given = {"as_of": options.as_of} if options.as_of else {}
+    given |= {n: tuple(v) for n in lists if (v := getattr(options, n)) is not None}
     config = AssessmentConfig(
         lookback_days=options.lookback_days,
         complete_at=options.complete_at,
@@ -38,9 +52,11 @@ def main() -> None:
     )
     spark = SparkSession.builder.appName("posture").getOrCreate()
     if options.directory:
-        sources = Sources.from_directory(spark, options.directory)
+        sources = Sources.from_directory(
+            spark, options.directory, probe_rows=not options.no_probe
+        )
     else:
-        sources = Sources.from_tables(spark, options.tables)
+        sources = Sources.from_tables(spark, options.tables, probe_rows=not options.no_probe)
     sources.readiness().show(truncate=False)
     rows = assess(sources, config, options.results, options.areas or None)
     if options.csv:

@@ -13,12 +13,13 @@ STATUS_RANK = {OPEN: 0, IN_PROGRESS: 1, MANUAL: 2, COMPLETED: 3}
 # --- scope: LIKE patterns -------------------------------------------------------
 PRODUCTION_CATALOGS = ("prod%", "main", "%_prod", "%_production")
 EXCLUDED_SCHEMAS = ("%dev%", "%test%", "%sandbox%", "%tmp%", "%scratch%")
-SYSTEM_CATALOGS = ("system", "samples")
+SYSTEM_CATALOGS = ("system", "samples", r"\_\_%internal%")
 LEGACY_CATALOG = "hive_metastore"
 
 # --- identifiers that vary by platform (see README, "Settings") ------------------
-SCHEMA_SERVICES = ("unityCatalog", "notebook")
-SQL_PRODUCTS = ("sql",)
+# Services by name, or any whose name ends in "sql"; products by name or by ending.
+SCHEMA_SERVICES = ("unityCatalog", "notebook", "%sql")
+SQL_PRODUCTS = ("sql", r"%\_sql")
 
 # --- storage formats ------------------------------------------------------------
 TRANSACTIONAL_FORMATS = ("delta", "deltasharing")

@@ -53,6 +53,11 @@ def has_any(column: Column, words: Iterable[str]) -> Column:
     return reduce(or_, (column.contains(w) for w in words))
 
 
+def named(column: Column, patterns: Iterable[str]) -> Column:
+    """Case-sensitive LIKE against any pattern; no pattern matches nothing."""
+    return reduce(or_, (column.like(p) for p in patterns), F.lit(False))
+
+
 def non_blank(column: Column) -> Column:
     return column.isNotNull() & (F.trim(column) != "")
 

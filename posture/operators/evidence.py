@@ -17,13 +17,17 @@ The outcome is long evidence: ``(metric, value, mix)``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EVIDENCE = "metric string, value double, mix array<struct<key:string,n:bigint>>"
+#: Stands for a NULL key in a mix, which may become the key of a map.
+UNKNOWN = "unknown"
+#: Keys of an unlimited mix that are listed in a rationale.
+LISTED = 50
 MIX = "array<struct<key:string,n:bigint>>"
 
 
@@ -134,9 +138,15 @@ def top_k(request: TopK) -> DataFrame:
 def top_k_evidence(metric: str, request: TopK) -> DataFrame:
     pairs = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "key")))
     mix = F.transform(
-        pairs, lambda p: F.struct(p["key"].cast("string").alias("key"), (-p["n"]).alias("n"))
+        pairs,
+        lambda p: F.struct(p["key"].alias("key"), (-p["n"]).alias("n")),
     )
-    return top_k(request).agg(mix.alias("mix")).select(
+    named = replace(
+        request,
+        key=F.coalesce(request.key.cast("string"), F.lit(UNKNOWN)),
+        k=LISTED if request.k is None else request.k,
+    )
+    return top_k(named).agg(mix.alias("mix")).select(
         F.lit(metric).alias("metric"),
         F.lit(None).cast("double").alias("value"),
         F.col("mix").cast(MIX),

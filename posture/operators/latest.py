@@ -4,10 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TIE_BREAK = "version"
 
 
+def _hashable(value: Column, kind: T.DataType) -> Column:
+    """``value`` without maps, which have no hash of their own."""
+    match kind:
+        case T.MapType():
+            entries = F.transform(
+                F.map_entries(value),
+                lambda e: F.struct(
+                    e["key"].alias("key"), _hashable(e["value"], kind.valueType).alias("value")
+                ),
+            )
+            return F.array_sort(entries)
+        case T.ArrayType() if _holds_map(kind):
+            return F.transform(value, lambda x: _hashable(x, kind.elementType))
+        case T.StructType() if _holds_map(kind):
+            return F.when(
+                value.isNotNull(),
+                F.struct(*(_hashable(value[f.name], f.dataType).alias(f.name) for f in kind)),
+            )
+    return value
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    match kind:
+        case T.MapType():
+            return True
+        case T.ArrayType():
+            return _holds_map(kind.elementType)
+        case T.StructType():
+            return any(_holds_map(f.dataType) for f in kind)
+    return False
+
+
 def latest(
     history: DataFrame,
     key: str,
@@ -20,14 +53,15 @@ def latest(
     By default tombstones are dropped first, so a deleted entity counts with its
     last live version; ``rank_before_live_filter`` drops the entity instead.
     Equal change times fall back to the ``version`` column, or else to a hash of
-    the row, so the pick does not depend on how the data is partitioned. Spark
+    the row (maps go into it as arrays of entries, in key order), so the pick does not
+    depend on how the data is partitioned. Spark
     keeps one row per key and map task before the shuffle (WindowGroupLimit), so a
     key with very many versions does not pile up in one task.
     """
     if TIE_BREAK in history.columns:
         tie = F.col(TIE_BREAK)
     else:
-        tie = F.xxhash64(F.to_json(F.struct(*history.columns)))
+        tie = F.xxhash64(*(_hashable(F.col(f.name), f.dataType) for f in history.schema))
     newest_first = Window.partitionBy(key).orderBy(F.col(changed_at).desc(), tie.desc())
     candidates = history if rank_before_live_filter else history.where(live)
     newest = (

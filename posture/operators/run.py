@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from posture.config import AssessmentConfig
@@ -33,13 +32,19 @@ class Run:
             return None
         try:
             return resolve_scope(self.sources.frame(CATALOGS), self.config)
-        except PySparkException as problem:
+        except Exception as problem:  # also what is no Spark error, as a lost file
             self.scope_problem = " ".join(str(problem).split("\n"))[:600]
             return None
 
     def since(self, frame: DataFrame, column: str, days: int | None = None) -> Column:
         return windows.since(frame, column, self.config, days)
 
+    def alive(self, frame: DataFrame, column: str) -> Column:
+        return windows.alive(frame, column, self.config)
+
+    def known(self, frame: DataFrame, column: str) -> Column:
+        return windows.known(frame, column, self.config)
+
     def recent(self, source: str, column: str, days: int | None = None) -> DataFrame:
         """The rows of a source inside its activity window."""
         return windows.in_window(self.sources.frame(source), column, self.config, days)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from posture import fixed_values as fixed
-from posture.functions.text import has_any, like, like_any, lowered, matches
+from posture.functions.text import has_any, like, like_any, lowered, matches, named
 from posture.operators.evidence import (
     Distinct,
     Groups,
@@ -148,10 +148,28 @@ def query_days(run: Run) -> Pass:
 
 @evidence("clients", HISTORY)
 def clients(run: Run) -> TopK:
+    """The most frequent clients, for the wording only; totals are in ``client_totals``."""
     frame = run.recent(HISTORY, "start_time").where(F.col("client_application").isNotNull())
     return TopK(frame, F.col("client_application"), 10)
 
 
+@evidence("client_totals", HISTORY)
+def client_totals(run: Run) -> Pass:
+    """Queries of all clients, and the partner tools among them."""
+    frame = run.recent(HISTORY, "start_time").where(F.col("client_application").isNotNull())
+    partner = has_any(F.lower(F.col("client_application")), fixed.PARTNER_TOOLS)
+    return Pass(
+        frame,
+        {
+            "client_totals.queries": Rows(),
+            "client_totals.clients": Groups(),
+            "client_totals.partner_queries": Rows(partner),
+            "client_totals.partners": Groups(partner),
+        },
+        carrier=("client_application",),
+    )
+
+
 @evidence("audit", "access.audit")
 def audit(run: Run) -> Pass:
     frame = run.recent("access.audit", "event_date")
@@ -174,7 +192,7 @@ def audit(run: Run) -> Pass:
             "audit.observers": Distinct("observer", has_any(agent, fixed.OBSERVABILITY_AGENTS)),
             "audit.throttled": Rows(throttled),
             "audit.altering": Rows(
-                F.col("service_name").isin(*run.config.schema_services) & altering
+                named(F.col("service_name"), run.config.schema_services) & altering
             ),
         },
         carrier=("event_date", "action_name"),

@@ -35,7 +35,11 @@ def _latest(
     known = {f.name for f in T.StructType.fromDDL(SCHEMAS[source])} | {TIE_BREAK}
     narrow = history.select(*(c for c in history.columns if c in known))
     return latest(
-        narrow, key, at, F.col(live).isNull(), run.config.rank_before_live_filter
+        narrow.where(run.known(narrow, at)),
+        key,
+        at,
+        run.alive(narrow, live),
+        run.config.rank_before_live_filter,
     )
 
 
@@ -71,7 +75,8 @@ def jobs(run: Run) -> Pass:
 
 @evidence("tasks", "lakeflow.job_tasks")
 def tasks(run: Run) -> Pass:
-    frame = run.sources.frame("lakeflow.job_tasks").where(F.col(LIVE).isNull())
+    every = run.sources.frame("lakeflow.job_tasks")
+    frame = every.where(run.alive(every, LIVE))
     return Pass(
         frame,
         {
@@ -85,7 +90,8 @@ def tasks(run: Run) -> Pass:
 @evidence("pipeline_versions", "lakeflow.pipelines")
 def pipeline_versions(run: Run) -> Pass:
     """Live versions, as counted by the questions that do not look at the latest only."""
-    frame = run.sources.frame("lakeflow.pipelines").where(F.col(LIVE).isNull())
+    every = run.sources.frame("lakeflow.pipelines")
+    frame = every.where(run.known(every, "change_time") & run.alive(every, LIVE))
     kind = lowered(F.col("pipeline_type"))
     return Pass(
         frame,
@@ -150,6 +156,9 @@ def clusters(run: Run) -> Pass:
             "clusters.terminating": Rows(interactive & (idle > 0)),
             "clusters.long_idle": Rows(interactive & (idle > fixed.LONG_IDLE_MINUTES)),
             "clusters.spot": Rows(spot),
+            "clusters.current_node": Rows(
+                has_any(lowered(F.col("worker_node_type")), fixed.CURRENT_INSTANCE_FAMILIES)
+            ),
         },
     )
 

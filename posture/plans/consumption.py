@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from posture import fixed_values as fixed
-from posture.functions.text import has_any, lowered
+from posture.functions.text import has_any, lowered, named
 from posture.operators.evidence import Distinct, Pass, Rows, TopK, Total
 from posture.operators.run import Run
 from posture.plans.passes import evidence
@@ -42,7 +42,7 @@ def usage(run: Run) -> Pass:
     photon = F.coalesce(F.col("product_features.is_photon"), F.lit(False))
     product = lowered(F.col("billing_origin_product"))
     sql_sku = _sku().contains("sql")
-    other_than_sql = ~product.isin(*run.config.sql_products)
+    other_than_sql = ~named(product, run.config.sql_products)
     tag_keys = F.map_keys(F.col("custom_tags"))
     chargeback = F.exists(
         tag_keys, lambda key: has_any(F.lower(key), fixed.CHARGEBACK_TAGS)

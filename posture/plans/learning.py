@@ -13,13 +13,15 @@ from posture.plans.passes import evidence
 
 @evidence("experiments", "mlflow.experiments_latest")
 def experiments(run: Run) -> Pass:
-    live = run.sources.frame("mlflow.experiments_latest").where(F.col("delete_time").isNull())
+    every = run.sources.frame("mlflow.experiments_latest")
+    live = every.where(run.alive(every, "delete_time"))
     return Pass(live, {"experiments.live": Rows()})
 
 
 @evidence("runs", "mlflow.runs_latest")
 def runs(run: Run) -> Pass:
-    live = run.recent("mlflow.runs_latest", "start_time").where(F.col("delete_time").isNull())
+    recent = run.recent("mlflow.runs_latest", "start_time")
+    live = recent.where(run.alive(recent, "delete_time"))
     evaluating = has_any(lowered(F.col("run_name")), fixed.EVALUATION_RUN_NAMES) | lowered(
         F.to_json("tags")
     ).rlike(fixed.EVALUATION_RUN_TAGS)
@@ -49,9 +51,8 @@ def run_metrics(run: Run) -> Pass:
 @evidence("served", "serving.served_entities")
 def served(run: Run) -> Pass:
     """Small configuration table: plain distinct counts."""
-    live = run.sources.frame("serving.served_entities").where(
-        F.col("endpoint_delete_time").isNull()
-    )
+    every = run.sources.frame("serving.served_entities")
+    live = every.where(run.alive(every, "endpoint_delete_time"))
     external = F.col("external_model_config").isNotNull()
     foundation = F.col("foundation_model_config").isNotNull()
     return Pass(

@@ -131,22 +131,16 @@ def serverless_workloads(e: Evidence) -> Verdict:
 @question("CO-01-07", CLUSTERS)
 def instance_types(e: Evidence) -> Verdict:
     mix = e.mix("node_types.mix")
-
-    def total(pairs):
-        return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
-
-    current = F.filter(
-        mix, lambda p: has_any(F.lower(p["key"]), fixed.CURRENT_INSTANCE_FAMILIES)
-    )
+    clusters = e.n("clusters.total")
     verdict = e.ratio(
-        total(current),
-        total(mix),
+        e.n("clusters.current_node"),
+        clusters,
         "recent clusters use a current instance family",
         nothing="No clusters: serverless compute picks its instances.",
         extra=sentence("Instances: {}.", listing(mix)),
         metrics={"node_type_mix": F.map_from_entries(mix)},
     )
-    return _completed_without_clusters(verdict, F.size(mix))
+    return _completed_without_clusters(verdict, clusters)
 
 
 @question("CO-01-08", "compute.node_timeline")

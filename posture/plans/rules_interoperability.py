@@ -71,31 +71,28 @@ def ingestion_connectors(e: Evidence) -> Verdict:
 @question("IU-01-03", "query.history")
 def partner_tools(e: Evidence) -> Verdict:
     mix = e.mix("clients.mix")
-    partners = F.filter(mix, lambda p: has_any(F.lower(p["key"]), fixed.PARTNER_TOOLS))
-
-    def total(pairs):
-        return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
-
-    tools = F.size(partners).cast("long")
+    listed = F.filter(mix, lambda p: has_any(F.lower(p["key"]), fixed.PARTNER_TOOLS))
+    tools, every = e.n("client_totals.partners"), e.n("client_totals.queries")
+    by_partners = e.n("client_totals.partner_queries")
     return Verdict(
-        F.when(F.size(mix) == 0, OPEN).when(tools == 0, IN_PROGRESS).otherwise(COMPLETED),
+        F.when(every == 0, OPEN).when(tools == 0, IN_PROGRESS).otherwise(COMPLETED),
         F.when(
-            F.size(mix) == 0,
+            every == 0,
             f"No client applications were recorded in {e.config.lookback_days} days.",
         ).otherwise(
             sentence(
                 "{} partner tool(s) sent {} of {} query/queries ({}) in {} days. Top clients:"
                 " {}.",
-                whole(tools), whole(total(partners)), whole(total(mix)),
-                percent_text(percent(total(partners), total(mix)) / 100),
+                whole(tools), whole(by_partners), whole(every),
+                percent_text(percent(by_partners, every) / 100),
                 e.days, listing(F.slice(mix, 1, 6)),
             )
         ),
         {
             "partners": tools,
-            "partner_queries": total(partners),
-            "attributed_queries": total(mix),
-            "partner_tools": F.transform(partners, lambda p: p["key"]),
+            "partner_queries": by_partners,
+            "attributed_queries": every,
+            "partner_tools": F.transform(listed, lambda p: p["key"]),
             "client_mix": F.map_from_entries(mix),
         },
     )

@@ -8,7 +8,6 @@ from collections.abc import Iterable, Mapping
 from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +64,7 @@ def _plan_pass(run: Run, name: str, metrics: list[str]) -> tuple[DataFrame | Non
         if isinstance(built, TopK):
             return top_k_evidence(metrics[0], built), {}
         return measure(built, metrics)
-    except PySparkException as problem:
+    except Exception as problem:  # a pass that cannot be planned fails alone
         return None, dict.fromkeys(metrics, _message(problem))
 
 
@@ -107,15 +106,36 @@ class Measurement:
     def result(self) -> tuple[DataFrame, Failures]:
         """The evidence so far as a local DataFrame; waits for all jobs."""
         rows = []
-        for name, (names, job) in self._jobs.items():
-            try:
-                rows += job.result()
-            except PySparkException as problem:
-                log.warning("pass %s failed: %s", name, _message(problem))
-                self._failed.update(dict.fromkeys(names, _message(problem)))
-        self._pool.shutdown()
+        try:
+            for name, (names, job) in self._jobs.items():
+                try:
+                    rows += job.result()
+                except Exception as problem:  # whatever ends a job, as a corrupt or missing file
+                    log.warning("pass %s failed: %s", name, _message(problem))
+                    rows += self._halves(name, names, problem)
+        finally:
+            self._pool.shutdown(cancel_futures=True)
         return self._run.spark.createDataFrame(rows, EVIDENCE), self._failed
 
+    def _halves(self, name: str, metrics: list[str], problem: Exception) -> list:
+        """Measure again in halves, so that a bad column costs only what reads it."""
+        if len(metrics) < 2:
+            self._failed.update(dict.fromkeys(metrics, _message(problem)))
+            return []
+        rows = []
+        middle = len(metrics) // 2
+        for half in (metrics[:middle], metrics[middle:]):
+            frame, problems = _plan_pass(self._run, name, half)
+            self._failed.update(problems)
+            if frame is None:
+                continue
+            left = [m for m in half if m not in problems]
+            try:
+                rows += frame.collect()
+            except Exception as again:
+                rows += self._halves(name, left, again)
+        return rows
+
 
 def _message(problem: Exception) -> str:
     return " ".join(f"{type(problem).__name__}: {problem}".split("\n"))[:600]

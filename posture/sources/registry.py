@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,16 +17,16 @@ class Sources:
     """Maps logical names (``schema.table``) to DataFrames.
 
     A relation is a DataFrame, a function of the session, or a table name. Reading
-    is lazy; a source counts as readable when its relation resolves. With
-    ``probe_rows`` one row is read as well, which also finds missing grants on
-    the files behind a table.
+    is lazy; a source counts as readable when its relation resolves and, unless
+    ``probe_rows`` is off, one row of it can be read, which also finds missing
+    grants on the files behind a table.
     """
 
     def __init__(
         self,
         spark: SparkSession,
         relations: Mapping[str, DataFrame | Loader | str],
-        probe_rows: bool = False,
+        probe_rows: bool = True,
     ):
         self.spark = spark
         self._relations = dict(relations)
@@ -55,7 +54,8 @@ class Sources:
     @classmethod
     def empty(cls, spark: SparkSession) -> Sources:
         """Every known source readable and without rows."""
-        return cls(spark, {n: spark.createDataFrame([], ddl) for n, ddl in SCHEMAS.items()})
+        frames = {n: spark.createDataFrame([], ddl) for n, ddl in SCHEMAS.items()}
+        return cls(spark, frames, probe_rows=False)
 
     def _resolve(self, name: str) -> DataFrame | None:
         if name not in self._frames:
@@ -74,7 +74,7 @@ class Sources:
                     frame.schema  # noqa: B018 - resolves the relation
                     if self._probe_rows:
                         frame.limit(1).collect()
-            except PySparkException as problem:
+            except Exception as problem:  # also what is no Spark error, as a lost file
                 self.problems[name] = _first_line(problem)
                 frame = None
             self._frames[name] = frame

@@ -46,12 +46,11 @@ def write_results_table(scorecard: DataFrame, table: str) -> None:
     spark = scorecard.sparkSession
     ensure_table(spark, table)
     ordered = [c for c in COLUMNS if c not in PARTITIONS] + list(PARTITIONS)
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        scorecard.select(*ordered).write.insertInto(table, overwrite=True)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    (
+        scorecard.select(*ordered)
+        .write.option("partitionOverwriteMode", "dynamic")
+        .insertInto(table, overwrite=True)
+    )
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

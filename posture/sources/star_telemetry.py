@@ -126,8 +126,8 @@ FLAT: dict[str, tuple[str, dict[str, str]]] = {
             "table_schema": _SCHEMA,
             "table_name": _SIZE_TABLE,
             "constraint_type": (
-                "CASE p_size % 3 WHEN 0 THEN 'PRIMARY KEY' WHEN 1 THEN 'FOREIGN KEY'"
-                " ELSE 'CHECK' END"
+                "CASE WHEN p_size = 50 THEN NULL WHEN p_size % 3 = 0 THEN 'PRIMARY KEY'"
+                " WHEN p_size % 3 = 1 THEN 'FOREIGN KEY' ELSE 'CHECK' END"
             ),
         },
     ),
@@ -295,7 +295,8 @@ FLAT: dict[str, tuple[str, dict[str, str]]] = {
             ),
             "worker_node_type": (
                 "CASE o_orderkey % 5 WHEN 0 THEN 'Standard_D4_v5' WHEN 1 THEN 'i3.xlarge'"
-                " WHEN 2 THEN NULL ELSE 'm6g.large' END"
+                " WHEN 2 THEN NULL WHEN 3 THEN 'c5.' || CAST(o_orderkey % 13 AS STRING)"
+                " ELSE 'm6g.large' END"
             ),
             "auto_termination_minutes": (
                 "CASE o_orderkey % 3 WHEN 0 THEN 0 ELSE CAST(60 + o_orderkey % 100 AS INT) END"
@@ -378,7 +379,8 @@ FLAT: dict[str, tuple[str, dict[str, str]]] = {
             "statement_type": "CASE WHEN event_id % 3 = 0 THEN 'INSERT' ELSE 'SELECT' END",
             "client_application": (
                 "CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'Tableau' WHEN 2 THEN 'dbt'"
-                " ELSE 'jdbc' END"
+                " WHEN 3 THEN CASE event_id % 26 WHEN 9 THEN 'Looker'"
+                " ELSE 'app_' || CAST(event_id % 26 AS STRING) END ELSE 'jdbc' END"
             ),
             "compute_type": (
                 "CASE event_id % 4 WHEN 0 THEN 'WAREHOUSE' WHEN 1 THEN 'warehouse_x'"
@@ -768,4 +770,4 @@ def star_sources(spark: SparkSession, sf_dir: str) -> Sources:
     def loader(source: str):
         return lambda _: derive(star(star_table(source)), source)
 
-    return Sources(spark, {source: loader(source) for source in FLAT})
+    return Sources(spark, {source: loader(source) for source in FLAT}, probe_rows=False)

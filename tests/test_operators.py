@@ -226,3 +226,15 @@ def test_window_includes_its_first_instant(spark, kind):
         F.col("s").cast(kind).alias("at")
     )
     assert in_window(frame, "at", config).count() == 2
+
+
+def test_tie_break_of_nested_columns_without_json(spark):
+    rows = [(1, 5, {"a": "x", "b": "y"}, ["p"]), (1, 5, {"b": "y", "a": "z"}, None), (1, 5, None, [])]
+    schema = "id int, at int, tags map<string,string>, kinds array<string>"
+    picks = set()
+    for order in (rows, rows[::-1], [rows[1], rows[0], rows[2]]):
+        frame = spark.createDataFrame(order, schema).repartition(3)
+        newest = latest(frame, "id", "at", F.lit(True))
+        picks.add(str(newest.first()))
+        assert "to_json" not in newest._jdf.queryExecution().toString()
+    assert len(picks) == 1

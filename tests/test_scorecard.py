@@ -171,7 +171,9 @@ def test_failing_scan_is_isolated(spark):
     )
     kept["compute.node_timeline"] = broken
     rows = assess(
-        Sources(spark, kept), AssessmentConfig(as_of=AS_OF), pillars=["performance-efficiency"]
+        Sources(spark, kept, probe_rows=False),
+        AssessmentConfig(as_of=AS_OF),
+        pillars=["performance-efficiency"],
     )
     got = {r["question_id"]: r for r in rows.collect()}
     assert got["PE-02-07"]["status"] == "open"
@@ -179,6 +181,63 @@ def test_failing_scan_is_isolated(spark):
     assert got["PE-02-08"]["status"] == "completed"
 
 
+@pytest.mark.parametrize("damage", ["truncated", "missing"])
+def test_a_damaged_file_is_isolated(spark, card, tmp_path, damage):
+    """Found by the probe, or, if the probe is off, by the pass that reads the file."""
+    full = star_sources(spark, SF_DIR)
+    path = tmp_path / "runs"
+    full.frame("mlflow.runs_latest").coalesce(1).write.parquet(str(path))
+    kept = {n: full.frame(n) for n in FLAT}
+    kept["mlflow.runs_latest"] = spark.read.parquet(str(path))
+    (data,) = path.glob("part-*.parquet")
+    if damage == "truncated":
+        data.write_bytes(data.read_bytes()[: data.stat().st_size // 2])
+    else:
+        data.unlink()
+    (path / f".{data.name}.crc").unlink()
+    for probe in (False, True):
+        run = Run(Sources(spark, kept, probe_rows=probe), AssessmentConfig(as_of=AS_OF))
+        rows = {r["question_id"]: r for r in scorecard(run).collect()}
+        assert rows.keys() == card.keys()
+        changed = {q for q in rows if rows[q]["status"] != card[q]["status"]}
+        untouched = {q for q in rows if rows[q]["reason"] == card[q]["reason"]}
+        assert changed and len(untouched) > 90
+
+
+def test_a_bad_column_costs_only_its_readers(spark, card):
+    full = star_sources(spark, SF_DIR)
+    kept = {n: full.frame(n) for n in FLAT}
+    kept["query.history"] = kept["query.history"].withColumn(
+        "read_bytes", F.raise_error(F.lit("bad block")).cast("bigint")
+    )
+    run = Run(Sources(spark, kept, probe_rows=False), AssessmentConfig(as_of=AS_OF))
+    rows = {r["question_id"]: r for r in scorecard(run).collect()}
+    for question_id in ("DG-01-03", "CO-03-04", "IU-03-02"):
+        assert rows[question_id]["status"] == card[question_id]["status"]
+        assert rows[question_id]["metrics_json"] == card[question_id]["metrics_json"]
+
+
+def test_side_signals_count_nothing_when_they_fail(spark):
+    full = star_sources(spark, SF_DIR)
+    kept = {n: full.frame(n) for n in FLAT}
+    kept["query.history"] = kept["query.history"].drop("statement_text")
+    run = Run(Sources(spark, kept, probe_rows=False), AssessmentConfig(as_of=AS_OF))
+    row = {r["question_id"]: r for r in scorecard(run, ["PE-02-09"]).collect()}["PE-02-09"]
+    assert row["status"] == "completed"
+    assert "queries.compaction" in json.loads(row["metrics_json"])["unmeasured"]
+    assert "queries.compaction" in row["reason"]
+
+
+def test_null_keys_in_a_mix(spark):
+    full = star_sources(spark, SF_DIR)
+    kept = {n: full.frame(n) for n in FLAT}
+    kinds = kept["information_schema.table_constraints"]
+    assert kinds.where("constraint_type IS NULL").count()
+    run = Run(Sources(spark, kept, probe_rows=False), AssessmentConfig(as_of=AS_OF))
+    (row,) = scorecard(run, ["R-02-04"]).collect()
+    assert row["status"] != "open"
+
+
 def test_scope_caveat(spark):
     sources = star_sources(spark, SF_DIR)
     rows = graded(sources, production_patterns=("nothing%",))
