@@ -37,7 +37,7 @@ BITS = 64
 #: Nodes that choose the vantage points, and nodes meant for a shard and for a leaf.
 SAMPLE = 20_000
 SHARD = 20_000
-LEAF = 768
+LEAF = 20_000
 CANDIDATES = 8
 
 
@@ -142,7 +142,7 @@ def grow(sample: np.ndarray, size: int) -> list:
         tree[at] = (found[0], found[1], left, right)
         return at
 
-    build(sample, size)
+    build(sample, float(len(sample)))
     return tree
 
 
@@ -231,7 +231,9 @@ def links(nodes: DataFrame, n_nodes: int) -> DataFrame:
         found = np.array(forest(values.view(np.uint64)), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": values[found[:, 0]], "b": values[found[:, 1]]})
 
-    dealt = nodes.mapInArrow(deal, "node bigint, shard bigint")
+    # As many partitions as shards: few bytes, but much comparing.
+    n_shards = sum(not isinstance(part, tuple) for part in tree)
+    dealt = nodes.mapInArrow(deal, "node bigint, shard bigint").repartition(n_shards, "shard")
     return dealt.groupBy("shard").applyInArrow(join, "a bigint, b bigint")
 
 

@@ -253,6 +253,7 @@ def test_tree_loses_no_link(seed, monkeypatch):
     nodes = np.array(sorted(nodes), dtype=np.uint64)
     tree = simhash.grow(nodes[::3], 40)
     rows, shards = simhash.shards_of(tree, nodes)
+    assert len(set(shards.tolist())) > 4
     assert set(rows.tolist()) == set(range(len(nodes)))
     joined = list(range(len(nodes)))
 
