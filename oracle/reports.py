@@ -119,6 +119,10 @@ OPERATORS = {
         " WHERE delete_time IS NULL"
     ),
     "latest_jobs_past": earlier(with_views("SELECT job_id, version FROM x_latest_jobs"), 31),
+    "latest_jobs_tied": with_views(
+        "SELECT job_id, max(date_trunc('year', change_time)) AS change_time FROM x_jobs"
+        " WHERE delete_time IS NULL GROUP BY job_id"
+    ),
     "latest_table_snapshots": with_views("SELECT table_id, version FROM x_latest_storage"),
     "inventory_counts": with_views(
         "SELECT collection AS key, count(*) AS n FROM x_workspace_inventory GROUP BY 1"
