@@ -13,9 +13,8 @@ class AssessmentConfig:
     """All knobs of a run.
 
     ``as_of`` (UTC) stands in for "now", so a run can be repeated later on the
-    same tables. ``inline_scope_limit`` bounds how many catalog names may be
-    inlined as literals; a larger scope is joined instead. ``concurrent_passes`` is
-    the number of sources measured at the same time.
+    same tables. ``concurrent_passes`` is the number of sources measured at the same
+    time.
     """
 
     as_of: datetime = field(default_factory=lambda: datetime.now(UTC))
@@ -28,7 +27,6 @@ class AssessmentConfig:
     sql_products: tuple[str, ...] = fixed.SQL_PRODUCTS
     exclude_principals: tuple[str, ...] = ()
     rank_before_live_filter: bool = False
-    inline_scope_limit: int = 1000
     concurrent_passes: int = 8
     run_id: str | None = None
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posture.config import AssessmentConfig
@@ -12,6 +12,8 @@ from posture.functions.text import any_like
 
 IN_SCOPE = "in_scope"
 PRODUCTION, EVERYTHING = "prod", "all"
+#: Catalog names in the label of a scope.
+LABELLED = 8
 CAVEAT = (
     "[SCOPE: no catalog matched the production patterns; every non-system catalog was"
     " assessed] "
@@ -31,18 +33,19 @@ def candidate_catalogs(catalogs: DataFrame, config: AssessmentConfig) -> DataFra
 
 
 def scope_frame(catalogs: DataFrame, config: AssessmentConfig) -> DataFrame:
-    """``(catalog_name, mode)``: production catalogs, or all when none matches."""
-    candidates = candidate_catalogs(catalogs, config)
-    any_production = candidates.where("production").limit(1).select(F.lit(1).alias("hit"))
-    production = candidates.where("production").select(
-        "catalog_name", F.lit(PRODUCTION).alias("mode")
-    )
-    everything = (
-        candidates.withColumn("hit", F.lit(1))
-        .join(any_production, "hit", "left_anti")
-        .select("catalog_name", F.lit(EVERYTHING).alias("mode"))
+    """``(catalog_name, mode)``: production catalogs, or all when none matches.
+
+    One scan; only catalog names meet in the window.
+    """
+    hit = F.max("production").over(Window.partitionBy())
+    return (
+        candidate_catalogs(catalogs, config)
+        .withColumn("hit", hit)
+        .where(F.col("production") == F.col("hit"))
+        .select(
+            "catalog_name", F.when(F.col("hit"), PRODUCTION).otherwise(EVERYTHING).alias("mode")
+        )
     )
-    return production.unionByName(everything)
 
 
 @dataclass(frozen=True)
@@ -50,7 +53,6 @@ class Scope:
     mode: str
     size: int
     first_names: tuple[str, ...]
-    names: tuple[str, ...] | None
     frame: DataFrame
     excluded_schemas: tuple[str, ...]
 
@@ -64,10 +66,6 @@ class Scope:
     def caveat(self) -> str:
         return "" if self.mode == PRODUCTION else CAVEAT
 
-    def catalogs(self, column: str) -> Column:
-        """``column`` names a catalog in scope (inlined scopes only)."""
-        return F.col(column).isin(*self.names) if self.names else F.lit(False)
-
     def schemas(self, column: str) -> Column:
         """``column`` names a schema that is neither excluded nor the metadata schema."""
         real = F.lower(F.col(column)) != "information_schema"
@@ -78,46 +76,29 @@ class Scope:
     def mark(self, frame: DataFrame, catalog: str, schema: str | None = None) -> DataFrame:
         """Add the flag ``in_scope``.
 
-        A scope up to the configured limit becomes an IN list, which also prunes
-        the scan. A larger one is joined; it is not hinted, so Spark broadcasts it
-        only if its measured size allows.
+        The scope is joined without a hint, so Spark broadcasts it only if its measured
+        size allows.
         """
-        if self.names is not None:
-            inside = self.catalogs(catalog)
-        else:
-            hits = self.frame.select(
-                F.col("catalog_name").alias("_scope_catalog"), F.lit(True).alias("_scope_hit")
-            ).distinct()
-            frame = frame.join(hits, F.col(catalog) == F.col("_scope_catalog"), "left")
-            inside = F.coalesce(F.col("_scope_hit"), F.lit(False))
+        hits = self.frame.select(
+            F.col("catalog_name").alias("_scope_catalog"), F.lit(True).alias("_scope_hit")
+        ).distinct()
+        frame = frame.join(hits, F.col(catalog) == F.col("_scope_catalog"), "left")
+        inside = F.coalesce(F.col("_scope_hit"), F.lit(False))
         if schema is not None:
             inside = inside & self.schemas(schema)
         return frame.withColumn(IN_SCOPE, inside).drop("_scope_catalog", "_scope_hit")
 
     def restrict(self, frame: DataFrame, catalog: str, schema: str | None = None) -> DataFrame:
         """Only the rows in scope."""
-        if self.names is not None:
-            inside = self.catalogs(catalog)
-            return frame.where(inside if schema is None else inside & self.schemas(schema))
         kept = frame if schema is None else frame.where(self.schemas(schema))
         hits = self.frame.select(F.col("catalog_name").alias("_scope_catalog"))
         return kept.join(hits, F.col(catalog) == F.col("_scope_catalog"), "left_semi")
 
 
 def resolve_scope(catalogs: DataFrame, config: AssessmentConfig) -> Scope:
-    """Decide the mode from at most ``inline_scope_limit + 1`` catalog names."""
-    limit = config.inline_scope_limit
-    head = (
-        candidate_catalogs(catalogs, config)
-        .orderBy(F.desc("production"), "catalog_name")
-        .limit(limit + 1)
-        .collect()
-    )
-    mode = PRODUCTION if head and head[0]["production"] else EVERYTHING
-    chosen = [r["catalog_name"] for r in head if mode == EVERYTHING or r["production"]]
-    frame = scope_frame(catalogs, config)
-    if len(chosen) <= limit:
-        names, size = tuple(chosen), len(chosen)
-    else:
-        names, size = None, frame.count()
-    return Scope(mode, size, tuple(chosen[:8]), names, frame, config.excluded_schemas)
+    """Mode and size, and a few names for the label; the names themselves stay in Spark."""
+    frame = scope_frame(catalogs, config).persist()
+    found = frame.agg(F.count(F.lit(1)).alias("n"), F.max("mode").alias("mode")).first()
+    head = frame.orderBy("catalog_name").limit(LABELLED).collect()
+    names = tuple(r["catalog_name"] for r in head)
+    return Scope(found["mode"] or EVERYTHING, found["n"], names, frame, config.excluded_schemas)
