@@ -38,9 +38,10 @@ FRAME, OPEN, ARTICLE = 0, 1, 2
 CELLS = 1 << 25
 
 #: Elements by their role on a page.
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "select",
-       "textarea", "title", "canvas", "video", "audio")
-FRAMES = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button"}
+RAW = ("script", "style")
+FRAMES = {"head", "title", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select",
+          "textarea", "noscript", "template", "svg", "math", "iframe", "object", "canvas",
+          "video", "audio"}
 ARTICLES = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
         "track", "wbr"}
@@ -55,6 +56,8 @@ FRAME_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "bre
                "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted",
                "related", "replies", "share", "sharing", "sidebar", "skip", "social", "sponsor",
                "sponsored", "subscribe", "toolbar", "widget"}
+#: Name the head of an article as well as that of a page.
+HEAD_WORDS = {"banner", "header", "masthead"}
 FRAME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form",
                "dialog", "alertdialog", "menu", "menubar"}
 
@@ -71,11 +74,12 @@ PARTS = re.compile(r"[^a-z]+")
 
 
 @cache
-def _is_frame(rest: str) -> bool:
+def _is_frame(rest: str, in_article: bool) -> bool:
     """Whether the attributes name a part of the frame, or hide the element."""
+    words = FRAME_WORDS - HEAD_WORDS if in_article else FRAME_WORDS
     for name, value in ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and FRAME_WORDS & set(PARTS.split(value)):
+        if name in ("class", "id") and words & set(PARTS.split(value)):
             return True
         if name == "role" and value in FRAME_ROLES:
             return True
@@ -125,7 +129,8 @@ def blocks(page: str) -> list[tuple[str, int]]:
         rest = token["rest"]
         if name in VOID or rest.endswith("/"):
             continue
-        framed = bool(rest) and _is_frame(rest) if len(rest) < 500 else False
+        judged = rest and len(rest) < 500 and name not in ("html", "body")
+        framed = bool(judged) and _is_frame(rest, part == ARTICLE)
         if name in ARTICLES:
             inner = FRAME if framed else ARTICLE
         elif name in FRAMES or framed or (name == "header" and part != ARTICLE):

@@ -428,6 +428,11 @@ def test_main_text():
     assert pages.main_text(page, ()) == "Title\n\nOne & two\n\nThree four"
     assert pages.main_text(page, (0, 1, 2, 3, 4)) == "Title\n\nOne & two\n\nThree four"
     assert pages.main_text("", ()) == ""
+    headed = (
+        "<body class='with-sidebar'><main><div class='article-header'><h1>T</h1></div><p>x"
+        "<select><option>o</select><div class='share'>s</div><p hidden>h</p><p>y&nbsp; z</main>"
+    )
+    assert pages.main_text(headed, ()) == "T\n\nx\n\ny z"
     assert pages.main_text("plain &lt; text", ()) == "plain < text"
     assert pages.main_text("<p>a longer line<p>frame<p>ccc", (1,)) == "a longer line\n\nccc"
 
