@@ -116,6 +116,8 @@ def blocks(page: str) -> list[tuple[str, int]]:
         name = name.lower()
         if name in BLOCKS:
             close_line()
+            if stack and stack[-1][0] == "p" and not token["end"]:
+                part = stack.pop()[1]  # a block ends a paragraph that was left open
         elif name in ("br", "td", "th"):
             gathered.append(" ")
         if token["end"]:
