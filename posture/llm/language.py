@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from posture.llm.common import remainder, slices, table, texts_of
 
 RANKS = 300
+#: Characters whose n-grams are counted at a time.
+PIECE = 500_000
 TRAIN_DOCS = 4_000
 FOLDS, HELD_OUT = 4, 2
 NONE = "und"
@@ -43,6 +45,27 @@ def _letters() -> np.ndarray:
     return np.array([chr(x).isalpha() for x in range(0x110000)])
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A long text, cut at spaces, over which no n-gram reaches."""
+    begin = 0
+    while len(text) - begin > 2 * PIECE:
+        end = text.find(" ", begin + PIECE)
+        if end < 0:
+            break
+        yield text[begin:end]
+        begin = end
+    yield text[begin:]
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a text, ascending, and how often each occurs."""
+    parts = [np.unique(ngrams(p), return_counts=True) for p in _pieces(text)]
+    if len(parts) == 1:
+        return parts[0]
+    codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def ngrams(text: str) -> np.ndarray:
     """Codes of all n-grams of a text; an empty array where it has no letter."""
     points = np.frombuffer(
@@ -61,10 +84,10 @@ def ngrams(text: str) -> np.ndarray:
     return np.concatenate((points[~blank], pairs, triples))
 
 
-def ranking(codes: np.ndarray) -> np.ndarray:
+def ranking(text: str) -> np.ndarray:
     """The most frequent codes, by count, then code."""
-    found, counts = np.unique(codes, return_counts=True)
-    return found[np.argsort(-counts, kind="stable")[:RANKS]]
+    codes, counts = counted(text)
+    return codes[np.argsort(-counts, kind="stable")[:RANKS]]
 
 
 class Judge:
@@ -80,10 +103,9 @@ class Judge:
             self.ranks[rows, column] = np.arange(len(rows))
 
     def predict(self, text: str) -> tuple[str, float]:
-        codes = ngrams(text)
-        if not len(codes) or not self.names:
+        own = ranking(text)
+        if not len(own) or not self.names:
             return NONE, 0.0
-        own = ranking(codes)
         rows = np.searchsorted(self.codes, own)
         known = rows < len(self.codes)
         known[known] = self.codes[rows[known]] == own[known]
@@ -104,15 +126,16 @@ def profiles(docs: DataFrame) -> Profiles:
     )
     share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), TRAIN_DOCS / F.count("*")).alias("share"))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << 20)) / float(1 << 20)
-    drawn = labelled.join(share, "lang").filter(place < F.col("share")).select("lang", "text")
+    # One row per language is broadcast, as few as the profiles themselves.
+    drawn = labelled.join(F.broadcast(share), "lang").filter(place < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            by: dict[str, list[np.ndarray]] = {}
+            by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch), strict=True):
-                by.setdefault(lang, []).append(ngrams(text))
-            for lang, found in by.items():
-                codes, n = np.unique(np.concatenate(found), return_counts=True)
+                by.setdefault(lang, []).append(text)
+            for lang, texts in by.items():
+                codes, n = counted(" ".join(texts))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang] * len(codes), pa.string()),

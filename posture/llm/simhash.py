@@ -33,6 +33,8 @@ from posture.llm.common import durable, ship, slices, table, text_id, text_or_em
 
 SHINGLE = 3
 TOLERANCE = 3
+#: Bytes of text that are hashed at a time.
+PIECE = 1 << 20
 BITS = 64
 #: Nodes that choose the vantage points, and nodes meant for a shard and for a leaf.
 SAMPLE = 20_000
@@ -45,30 +47,36 @@ def simhash(text: str, seed: int = 42) -> int:
     """Fingerprint of one text; UTF-8 bytes keep the word rule to ASCII white space."""
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
-    line = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return digest(line, seed)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    begins = [0, *ends[:-1]]
-    hashes = np.array(
-        [digest(line[a : b - 1], seed) for a, b in zip(begins, ends[SHINGLE - 1 :])],
-        dtype=np.uint64,
-    )
-    return majority(hashes)
-
-
-def majority(hashes: np.ndarray) -> int:
-    """The bits set in over half the hashes."""
-    total = np.zeros(BITS, dtype=np.int64)
-    for begin in range(0, len(hashes), 65_536):
-        part = hashes[begin : begin + 65_536].astype(">u8").view(np.uint8)
-        total += np.unpackbits(part.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = (2 * total > len(hashes)).astype(np.uint8)
-    return int.from_bytes(np.packbits(bits).tobytes(), "big")
+    total, count = np.zeros(BITS, dtype=np.int64), 0
+    words: list[bytes] = []
+    for piece in _pieces(text.encode("utf-8", "surrogatepass").lower()):
+        words = words[1 - SHINGLE :] + piece.split()
+        if len(words) < SHINGLE:
+            continue
+        line = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+        begins = [0, *ends[:-1]]
+        shingles = zip(begins, ends[SHINGLE - 1 :], strict=False)
+        hashes = np.array([digest(line[a : b - 1], seed) for a, b in shingles], dtype=">u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+        total += bits.sum(axis=0, dtype=np.int64)
+        count += len(hashes)
+    if not count:
+        return digest(b" ".join(words), seed) if words else 0
+    return int.from_bytes(np.packbits((2 * total > count).astype(np.uint8)).tobytes(), "big")
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A long text, cut at spaces; shingles go on over the cuts."""
+    begin = 0
+    while len(raw) - begin > 2 * PIECE:
+        end = raw.find(b" ", begin + PIECE)
+        if end < 0:
+            break
+        yield raw[begin:end]
+        begin = end
+    yield raw[begin:]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

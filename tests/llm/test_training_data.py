@@ -233,6 +233,19 @@ def test_near_duplicates(docs):
     assert rows_of(found) == expected_components(some_docs())
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    text = " ".join(f"W{i % 13} b{i % 7}" for i in range(300)) + "\n x"
+    whole, ranks = simhash.simhash(text), language.ranking(text).tolist()
+    for piece in (1, 5, 40, 1000):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        monkeypatch.setattr(language, "PIECE", piece)
+        assert simhash.simhash(text) == whole == expected_simhash(text)
+        assert language.ranking(text).tolist() == ranks
+        assert [simhash.simhash(t) for t in ("", " a", "a  b", "a b c")] == [
+            expected_simhash(t) for t in ("", " a", "a  b", "a b c")
+        ]
+
+
 def test_native_hash_agrees(spark):
     from pyspark.sql import functions as F
 
@@ -541,7 +554,7 @@ def test_models_on_awkward_tables(spark, docs, empty):
 
 def test_out_of_place_distance():
     texts = {"a": "abab abab", "b": "xyxy xyxy"}
-    judge = language.Judge({k: language.ranking(language.ngrams(v)).tolist() for k, v in texts.items()})
+    judge = language.Judge({k: language.ranking(v).tolist() for k, v in texts.items()})
     assert judge.predict("aba ab")[0] == "a" and judge.predict("yxy")[0] == "b"
     assert judge.predict("12 !")[0] == "und"
     assert judge.predict(texts["a"])[1] > 0.9
