@@ -152,7 +152,7 @@ add(
     "DG-01-05",
     RATIO,
     "SELECT CASE WHEN denominator = 0 THEN tagged ELSE least(tagged, denominator) END"
-    " AS numerator, denominator, distinct_tag_names FROM ("
+    " AS numerator, denominator, distinct_tag_names, tagged AS tagged_tables FROM ("
     + fields(
         denominator=TABLES,
         tagged=one(f"count(DISTINCT {TRIPLE2})", f"x_table_tags WHERE {S2}"),

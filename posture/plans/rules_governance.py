@@ -80,7 +80,7 @@ def tagged_tables(e: Evidence) -> Verdict:
         total,
         f"tables in {e.where} have a tag to be found by",
         extra=sentence("{} tag key(s) are in use.", whole(keys)),
-        metrics={"distinct_tag_names": keys},
+        metrics={"distinct_tag_names": keys, "tagged_tables": tagged},
     )
 
 
