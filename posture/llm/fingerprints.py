@@ -137,10 +137,10 @@ def next_documents(docs: DataFrame) -> DataFrame:
         .dropDuplicates(list(key))
     )
     linked = successors(narrow, *key)
-    head = narrow.agg(F.min(F.struct(*key)).alias("head"))
     # One row; after the last document comes the first.
-    linked = linked.join(F.broadcast(head), F.lit(True))
-    follows = F.coalesce("next", "head")
+    head = narrow.agg(F.min(F.struct(*key)).alias("head")).first()["head"] or (None, None)
+    begin = F.struct(*(F.lit(v).cast("bigint").alias(k) for k, v in zip(key, head, strict=True)))
+    follows = F.coalesce("next", begin)
     linked = linked.select(
         F.col("doc_id").alias("of_id"), F.col("text_id").alias("of_text_id"),
         follows["doc_id"].alias("next_id"), follows["text_id"].alias("next_text_id"),
