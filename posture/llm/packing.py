@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import array
 import bisect
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -71,20 +72,21 @@ class WordIds:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > KNOWN_WORDS:
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        if len(self.words) > KNOWN_WORDS:
             self.words.clear()
         if len(self.parts) > KNOWN_WORDS:
             self.parts.clear()
-        split = {w: LETTER_MEETS_SIGN.split(w) for w in words if w not in self.words}
+        split = {w: LETTER_MEETS_SIGN.split(w) for w in words}
         fresh = list({p for parts in split.values() for p in parts if p not in self.parts})
         encoded = self.tokenizer.encode_batch_fast(
             [p.decode("utf-8") for p in fresh], add_special_tokens=False
         )
         for part, found in zip(fresh, encoded, strict=True):
             self.parts[part] = array.array("I", found.ids).tobytes()
-        for word, parts in split.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
+        found = {w: b"".join([self.parts[p] for p in parts]) for w, parts in split.items()}
+        self.words.update(found)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # Lower-casing ASCII letters changes no id and halves the number of words.
@@ -92,10 +94,15 @@ class WordIds:
             None if any(s in t for s in self.special) else t.encode("utf-8").lower().split()
             for t in texts
         ]
-        words = set().union(*(s for s in split if s))
-        if not self.words.keys() >= words:
-            self._learn(words)
-        known = self.words.__getitem__
+        # The words of this slice alone: most look-ups stay in a small table.
+        near = dict.fromkeys(itertools.chain.from_iterable(s for s in split if s))
+        get = self.words.get
+        for word in near:
+            near[word] = get(word)
+        fresh = [w for w, ids in near.items() if ids is None]
+        if fresh:
+            near.update(self._learn(fresh))
+        known = near.__getitem__
         out = []
         for text, found in zip(texts, split, strict=True):
             if found is None:
