@@ -36,6 +36,8 @@ from posture.llm.common import durable, slices, successors, table
 FRAME, OPEN, ARTICLE = 0, 1, 2
 #: Cells of an alignment that is solved in one piece; larger ones are halved first.
 CELLS = 1 << 25
+#: Compression level of pages that are sent to their line numbers.
+PACKED = 6
 
 #: Elements by their role on a page.
 RAW = ("script", "style")
@@ -334,19 +336,32 @@ def differences(pages: DataFrame) -> DataFrame:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """The pages with ``__text``."""
+    """The pages with ``__text`` in place of ``html``, which is compressed on its way."""
+
+    @F.pandas_udf("binary")
+    def pack(html):
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=PACKED)
+        return html.map(lambda h: packer.compress((h or "").encode("utf-8", "surrogatepass")))
 
     @F.pandas_udf("string")
-    def extract(html, shared):
-        rows = zip(html, shared, strict=True)
-        texts = [main_text(h or "", () if s is None else s) for h, s in rows]
-        return html.__class__(texts, dtype=object)
-
-    shared = durable(differences(pages)).select(F.col("key").alias("__key"), "shared")
-    keyed = pages.withColumn("__key", row_key(pages))
-    found = keyed.join(shared.withColumnRenamed("shared", "__shared"), "__key", "left")
-    return found.withColumn("__text", extract(F.col("html"), F.col("__shared"))).drop(
-        "__key", "__shared"
+    def extract(packed, shared):
+        import zstandard
+
+        texts = []
+        for page, lines in zip(packed, shared, strict=True):
+            html = zstandard.ZstdDecompressor().decompress(page).decode("utf-8", "surrogatepass")
+            texts.append(main_text(html, () if lines is None else lines))
+        return shared.__class__(texts, dtype=object)
+
+    shared = durable(differences(pages)).select(
+        F.col("key").alias("__key"), F.col("shared").alias("__shared")
+    )
+    keyed = pages.withColumn("__key", row_key(pages)).withColumn("__packed", pack("html"))
+    found = keyed.drop("html").join(shared, "__key", "left")
+    return found.withColumn("__text", extract("__packed", "__shared")).drop(
+        "__key", "__packed", "__shared"
     )
 
 
