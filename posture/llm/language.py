@@ -145,8 +145,8 @@ def profiles(docs: DataFrame) -> Profiles:
                     names=["lang", "code", "n"],
                 )
 
-    counted = drawn.mapInArrow(count, "lang string, code bigint, n bigint")
-    summed = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    parts = drawn.mapInArrow(count, "lang string, code bigint, n bigint")
+    summed = parts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = summed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= RANKS)
     found: dict[str, list[tuple[int, int]]] = {}
