@@ -4,17 +4,18 @@
 2. Within a host pages are ordered by URL path; a page's partner is the neighbour, before or
    after, whose path shares more leading characters.
 3. The lines of both pages are aligned by longest common subsequence. Shared lines are the
-   site's frame and are deleted, except inside an article element: copies of an article
-   share its lines, and no line of an article is to be dropped. Where the shared lines are
-   most of a page that has no article element, the pages are copies, and they stay too.
+   site's frame and are deleted, inside an article element too, and unshared ones stay,
+   outside of it too. Where most lines and most characters of an article are shared, the
+   partner is a copy of it, and the article stays whole. Where the shared lines are most of
+   a page that has no article element, the pages are copies, and they stay too.
 4. Unshared lines in menus, headers, footers, sidebars, notices, adverts, forms and reader
    comments go by their element, role or class.
 
 Only line hashes meet for the alignment, keyed by page; the range partitions of (host, path)
 split a host of any size. The html is joined once with the few line numbers found.
 
-Defined results: NULL and empty html give an empty text; pages without host, partner or
-article element are judged by step 4 alone; NULL urls count as one host without a name;
+Defined results: NULL and empty html give an empty text; pages without host or partner
+are judged by step 4 alone; NULL urls count as one host without a name;
 repeated rows share their answer; other columns are ignored.
 """
 
@@ -229,16 +230,20 @@ def main_text(page: str, shared: Iterable[int]) -> str:
     """The main text, given the lines shared with the partner page."""
     lines = blocks(page)
     gone = set(shared)
-    has_article = any(kind == ARTICLE for _, kind in lines)
     loose = [i for i, (_, kind) in enumerate(lines) if kind == OPEN]
-    size = sum(len(lines[i][0]) for i in loose)
-    copies = 2 * sum(len(lines[i][0]) for i in loose if i in gone) > size
-    kept = [
-        text
-        for i, (text, kind) in enumerate(lines)
-        if kind == ARTICLE or (kind == OPEN and not has_article and (copies or i not in gone))
-    ]
-    return "\n\n".join(kept)
+    own = [i for i, (_, kind) in enumerate(lines) if kind == ARTICLE]
+
+    def size(places: Iterable[int]) -> int:
+        return sum(len(lines[i][0]) for i in places)
+
+    both = [i for i in own if i in gone]
+    if 2 * len(both) > len(own) and 2 * size(both) > size(own):
+        gone.difference_update(own)  # the partner is a copy of the article
+    if not own and 2 * size(i for i in loose if i in gone) > size(loose):
+        gone.clear()
+    return "\n\n".join(
+        text for i, (text, kind) in enumerate(lines) if kind != FRAME and i not in gone
+    )
 
 
 def _host(url: Column) -> Column:

@@ -450,6 +450,19 @@ def test_main_text():
     assert pages.main_text("<p>a longer line<p>frame<p>ccc", (1,)) == "a longer line\n\nccc"
 
 
+def test_shared_lines_decide_beside_and_inside_an_article():
+    page = (
+        "<div>Site menu</div><div>The story stands in a plain element</div>"
+        "<article><p>Teaser of another page</p></article><div>All rights reserved</div>"
+    )
+    found = pages.main_text(page, (0, 3))
+    assert found == "The story stands in a plain element\n\nTeaser of another page"
+    page = "<main><p>Site line</p><p>The story of this page</p><p>It goes on</p></main><p>Foot</p>"
+    assert pages.main_text(page, (0, 3)) == "The story of this page\n\nIt goes on"
+    # The partner is a copy of the article: it stays, and the frame beside it goes.
+    assert pages.main_text(page, (0, 1, 2, 3)) == "Site line\n\nThe story of this page\n\nIt goes on"
+
+
 def lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
