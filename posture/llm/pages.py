@@ -1,13 +1,16 @@
 """Main text of web pages by nearest-URL page differencing.
 
 1. Each page becomes its list of text lines (blocks) with the part of the page they stand in.
-2. Within a host pages are ordered by URL path; a page's partner is the neighbour, before or
-   after, whose path shares more leading characters.
-3. The lines of both pages are aligned by longest common subsequence. Shared lines are the
-   site's frame and are deleted, inside an article element too, and unshared ones stay,
-   outside of it too. Where most lines and most characters of an article are shared, the
-   partner is a copy of it, and the article stays whole. Where the shared lines are most of
-   a page that has no article element, the pages are copies, and they stay too.
+2. Within a host pages are ordered by URL path; equal pages in a row count as one. A page's
+   partners are the neighbours before and after, the nearer one (whose path shares more
+   leading characters) first; at the end of a host the second stands behind the first.
+3. The lines of a page and a partner are aligned by longest common subsequence. Lines that
+   the nearest partner shares are the site's frame and are deleted, unshared ones stay. If
+   it leaves less than a ``COPY``-th of the page it may be a copy: the other partner decides
+   then, and if that one leaves as little, the one which leaves more. Where neither leaves
+   anything of a page without an article element, it stays as it is. Lines of an article
+   element go if every partner shares them that is not a copy of the article (most of its
+   lines and most of its characters shared).
 4. Unshared lines in menus, headers, footers, sidebars, notices, adverts, forms and reader
    comments go by their element, role or class.
 
@@ -29,14 +32,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from posture.llm.common import durable, slices, successors, table
+from posture.llm.common import durable, slices, table
 
 FRAME, OPEN, ARTICLE = 0, 1, 2
 #: Cells of an alignment that is solved in one piece; larger ones are halved first.
 CELLS = 1 << 25
+#: A partner that leaves less than one part in so many of a page unshared may be a copy of it.
+COPY = 10
 #: Compression level of pages that are sent to their line numbers.
 PACKED = 6
 
@@ -226,23 +231,28 @@ def _align(a: list, b: list) -> list[int]:
     return found[::-1]
 
 
-def main_text(page: str, shared: Iterable[int]) -> str:
-    """The main text, given the lines shared with the partner page."""
+def main_text(page: str, *shared: Iterable[int]) -> str:
+    """The main text, given the lines shared with each partner page, the nearest first."""
     lines = blocks(page)
-    gone = set(shared)
-    loose = [i for i, (_, kind) in enumerate(lines) if kind == OPEN]
-    own = [i for i, (_, kind) in enumerate(lines) if kind == ARTICLE]
+    partners = [set(places) for places in shared]
+    body = [i for i, (_, kind) in enumerate(lines) if kind != FRAME]
+    own = [i for i in body if lines[i][1] == ARTICLE]
 
     def size(places: Iterable[int]) -> int:
         return sum(len(lines[i][0]) for i in places)
 
-    both = [i for i in own if i in gone]
-    if 2 * len(both) > len(own) and 2 * size(both) > size(own):
-        gone.difference_update(own)  # the partner is a copy of the article
-    if not own and 2 * size(i for i in loose if i in gone) > size(loose):
-        gone.clear()
+    def copies_article(gone: set[int]) -> bool:
+        both = [i for i in own if i in gone]
+        return 2 * len(both) > len(own) and 2 * size(both) > size(own)
+
+    rests = [size(i for i in body if i not in gone) for gone in partners]
+    told = [k for k, rest in enumerate(rests) if COPY * rest >= size(body)]
+    best = told[0] if told else max(range(len(rests)), key=rests.__getitem__, default=None)
+    frame = set() if best is None or not (rests[best] or own) else partners[best]
+    others = [gone for gone in partners if not copies_article(gone)]
+    inside = set.intersection(*others) if others else set()
     return "\n\n".join(
-        text for i, (text, kind) in enumerate(lines) if kind != FRAME and i not in gone
+        lines[i][0] for i in body if i not in (inside if lines[i][1] == ARTICLE else frame)
     )
 
 
@@ -290,54 +300,132 @@ def line_hashes(pages: DataFrame) -> DataFrame:
     return scanned.filter(F.size("lines") > 0).dropDuplicates(["key"])
 
 
-def partners(lines: DataFrame) -> DataFrame:
-    """(key, partner): the neighbour by path within the host that is nearer."""
+def numbered(lines: DataFrame) -> DataFrame:
+    """(key, host, path, content, run) by host and path; equal pages in a row share a run.
+
+    Runs count up by one: each range partition counts its own, and takes the last page and
+    the number of runs of those before it.
+    """
+    order = ("host", "path", "content", "key")
+    ranged = durable(
+        lines.select("key", "host", "path", F.xxhash64("lines").alias("content"))
+        .repartitionByRange(*order)
+        .withColumn("part", F.spark_partition_id())
+    )
+    parts = Window.orderBy("part")
+    within = Window.partitionBy("part").orderBy(*order)
+    tails = ranged.groupBy("part").agg(F.max(F.struct(*order)).alias("tail"))
+    before = tails.select("part", F.lag("tail").over(parts).alias("tail"))
+    tail = F.when(
+        F.col("tail").isNotNull(), F.struct(F.col("tail")["host"], F.col("tail")["content"])
+    )
+    page = F.struct("host", "content")
+    begun = durable(
+        ranged.withColumn("last", F.lag(page).over(within))
+        .join(before, "part")
+        .select(
+            "part", *order,
+            (~page.eqNullSafe(F.coalesce("last", tail))).cast("bigint").alias("begins"),
+        )
+    )
+    earlier = begun.groupBy("part").agg(F.sum("begins").alias("n")).select(
+        "part",
+        F.coalesce(
+            F.sum("n").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("earlier"),
+    )
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        begun.withColumn("inside", F.sum("begins").over(so_far))
+        .join(earlier, "part")
+        .select(*order, (F.col("earlier") + F.col("inside")).alias("run"))
+    )
+
+
+def partners(runs: DataFrame) -> DataFrame:
+    """(key, rank, partner) for the first page of each run: the two nearest different pages.
+
+    They are the neighbours by path within the host, the nearer one first; at the end of a
+    host the second one stands behind the first.
+    """
 
     @F.pandas_udf("int")
     def common(a, b):
         pairs = zip(a, b, strict=True)
         return a.__class__([len(os.path.commonprefix(list(p))) for p in pairs], dtype="int32")
 
-    linked = successors(lines, "host", "path", "key").filter(
-        F.col("next")["host"] == F.col("host")
-    )
-    near = linked.select(
-        "key",
-        F.col("next")["key"].alias("other"),
-        common(F.col("path"), F.col("next")["path"]).alias("near"),
+    after = runs.select(
+        (F.col("run") - 1).alias("run"), F.col("host").alias("next_host"),
+        F.col("begin").alias("next_begin"),
+        F.col("key").alias("next_key"), F.col("content").alias("next_content"),
     )
-    # The page before wins where both are as near.
-    both = near.select(
-        "key", F.struct("near", F.lit(0).alias("before"), F.col("other").alias("partner")).alias("c")
-    ).union(
-        near.select(
-            F.col("other").alias("key"),
-            F.struct("near", F.lit(1).alias("before"), F.col("key").alias("partner")).alias("c"),
+    near = durable(
+        runs.join(after, "run")
+        .filter(F.col("host") == F.col("next_host"))
+        .select(
+            "run", "key", "content", "next_key", "next_content",
+            common("end", "next_begin").alias("near"),
         )
     )
-    return both.groupBy("key").agg(F.max("c").alias("c")).select(
-        "key", F.col("c")["partner"].alias("partner")
+    onward = near.select(
+        (F.col("run") - 1).alias("run"), F.col("next_key").alias("far_key"),
+        F.col("next_content").alias("far_content"), F.col("near").alias("far_near"),
+    )
+    # In order of paths, what is two steps away shares no more than either step.
+    farther = near.join(onward, "run").filter(F.col("content") != F.col("far_content"))
+    links = near.select("key", F.col("next_key").alias("other"), "near", F.lit(1).alias("steps")).union(
+        farther.select("key", "far_key", F.least("near", "far_near"), F.lit(2))
+    )
+
+    def choice(own: str, other: str, later: int) -> DataFrame:
+        # The page before wins where both are as near.
+        rank = F.struct(
+            (-F.col("near")).alias("far"), "steps", F.lit(later).alias("later"),
+            F.col(other).alias("partner"),
+        )
+        return links.select(F.col(own).alias("key"), rank.alias("c"))
+
+    return (
+        choice("key", "other", 1)
+        .union(choice("other", "key", 0))
+        .groupBy("key")
+        .agg(F.slice(F.sort_array(F.collect_list("c")), 1, 2).alias("c"))
+        .select("key", F.posexplode("c").alias("rank", "c"))
+        .select("key", "rank", F.col("c")["partner"].alias("partner"))
     )
 
 
 def differences(pages: DataFrame) -> DataFrame:
-    """(key, shared): line numbers of a page that its partner shares, by alignment."""
+    """(key, shared): line numbers of a page that each partner shares, by alignment."""
     lines = durable(line_hashes(pages))
-    pairs = partners(lines)
+    places = durable(numbered(lines))
+    runs = durable(
+        places.groupBy("run").agg(
+            F.min("host").alias("host"), F.min("path").alias("begin"), F.max("path").alias("end"),
+            F.min("content").alias("content"), F.min("key").alias("key"),
+        )
+    )
     theirs = lines.select(F.col("key").alias("partner"), F.col("lines").alias("theirs"))
     mine = lines.select("key", "lines")
-    met = pairs.join(theirs, "partner").join(mine, "key").select("key", "lines", "theirs")
+    met = partners(runs).join(theirs, "partner").join(mine, "key")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("lines").to_pylist(), batch.column("theirs").to_pylist()
             found = [shared_lines(x, y) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(found, pa.list_(pa.int32()))],
-                names=["key", "shared"],
+                [batch.column("key"), batch.column("rank"), pa.array(found, pa.list_(pa.int32()))],
+                names=["key", "rank", "shared"],
             )
 
-    return met.mapInArrow(align, "key bigint, shared array<int>")
+    aligned = met.select("key", "rank", "lines", "theirs").mapInArrow(
+        align, "key bigint, rank int, shared array<int>"
+    )
+    by_first = aligned.groupBy(F.col("key").alias("first")).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "shared")))["shared"].alias("shared")
+    )
+    firsts = runs.select("run", F.col("key").alias("first")).join(by_first, "first")
+    return places.select("key", "run").join(firsts, "run").select("key", "shared")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -357,7 +445,7 @@ def extracted(pages: DataFrame) -> DataFrame:
         texts = []
         for page, lines in zip(packed, shared, strict=True):
             html = zstandard.ZstdDecompressor().decompress(page).decode("utf-8", "surrogatepass")
-            texts.append(main_text(html, () if lines is None else lines))
+            texts.append(main_text(html, *(() if lines is None else lines)))
         return shared.__class__(texts, dtype=object)
 
     shared = durable(differences(pages)).select(

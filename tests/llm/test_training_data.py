@@ -463,6 +463,23 @@ def test_shared_lines_decide_beside_and_inside_an_article():
     assert pages.main_text(page, (0, 1, 2, 3)) == "Site line\n\nThe story of this page\n\nIt goes on"
 
 
+def test_short_story_in_a_long_frame(spark):
+    frame = "".join(f"<div>Link {i} of the site, as on any page</div>" for i in range(20))
+    rows = [(i, f"http://h/a/{i}", f"{frame}<p>story {i}</p><div>Rights</div>") for i in range(4)]
+    # Copies of a page, equal or nearly so, are told apart by the next page that is none.
+    long = "<p>a story that two pages tell, " + "as long as can be, " * 99 + "</p>"
+    rows += [(10, "http://g/b/1", f"{frame}{long}<p>1 view</p>"), (11, "http://g/b/2", f"{frame}{long}<p>2 views</p>"),
+             (12, "http://g/b/2/x", f"{frame}{long}<p>2 views</p>"), (13, "http://g/c", f"{frame}<p>other</p>")]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    found = {r[0]: r[1] for r in pages.extracted(table).select("page_id", "__text").collect()}
+    text = long[3:-4].strip()
+    assert found == {i: f"story {i}" for i in range(4)} | {
+        10: f"{text}\n\n1 view", 11: f"{text}\n\n2 views", 12: f"{text}\n\n2 views", 13: "other",
+    }
+    page = "<main><p>Site</p><p>Shared by one neighbour</p><p>The story</p></main>"
+    assert pages.main_text(page, (0, 1), (0,)) == "Shared by one neighbour\n\nThe story"
+
+
 def lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
