@@ -42,6 +42,8 @@ FRAME, OPEN, ARTICLE = 0, 1, 2
 CELLS = 1 << 25
 #: A partner that leaves less than one part in so many of a page unshared may be a copy of it.
 COPY = 10
+#: Attributes of fewer characters are remembered once judged.
+REMEMBERED = 500
 #: Compression level of pages that are sent to their line numbers.
 PACKED = 6
 
@@ -81,9 +83,12 @@ ATTRIBUTE = re.compile(
 PARTS = re.compile(r"[^a-z]+")
 
 
-@cache
 def _is_frame(rest: str, in_article: bool) -> bool:
     """Whether the attributes name a part of the frame, or hide the element."""
+    return (_known if len(rest) < REMEMBERED else _judge)(rest, in_article)
+
+
+def _judge(rest: str, in_article: bool) -> bool:
     words = FRAME_WORDS - HEAD_WORDS if in_article else FRAME_WORDS
     for name, value in ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
@@ -98,6 +103,9 @@ def _is_frame(rest: str, in_article: bool) -> bool:
     return False
 
 
+_known = cache(_judge)
+
+
 def blocks(page: str) -> list[tuple[str, int]]:
     """The text lines of a page and the part they stand in."""
     found: list[tuple[str, int]] = []
@@ -139,7 +147,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
         rest = token["rest"]
         if name in VOID or rest.endswith("/"):
             continue
-        judged = rest and len(rest) < 500 and name not in ("html", "body")
+        judged = rest and name not in ("html", "body")
         framed = bool(judged) and _is_frame(rest, part == ARTICLE)
         if name in ARTICLES:
             inner = FRAME if framed else ARTICLE

@@ -450,6 +450,13 @@ def test_main_text():
     assert pages.main_text("<p>a longer line<p>frame<p>ccc", (1,)) == "a longer line\n\nccc"
 
 
+def test_long_attributes_are_judged():
+    data = f"data-x='{'x' * 600}'"
+    page = f"<div {data} class='ad'>Buy</div><p>Text</p><div class=x style='color:red;{' ' * 600}display:none'>h</div>"
+    assert pages.main_text(page, ()) == "Text"
+    assert pages.main_text(f"<div {data} class='story'>Text</div>", ()) == "Text"
+
+
 def test_shared_lines_decide_beside_and_inside_an_article():
     page = (
         "<div>Site menu</div><div>The story stands in a plain element</div>"
