@@ -7,8 +7,9 @@ earlier links gave. While the chain is trained these log-odds come from models t
 seen the document (``OOF_FOLDS`` folds by a hash of its id); for prediction each link is
 fitted once more on all training rows.
 
-Marks are counted by label on the executors; the ``MARKS`` that tell a label best apart
-(by the z score of the difference of two shares) are the features of the chain. Training
+Marks are counted by label over all labelled rows on the executors; the ``MARKS`` that tell
+a label best apart (by the z score of the difference of two shares) are the features of the
+chain. Each fit goes on until its gradient is ``TOLERANCE`` of what it began with. Training
 takes at most ``TRAIN_DOCS`` labelled rows with a positive label and as many others, chosen
 by a hash of the id: a bound for learning only, every whole text is scored. Rows are
 weighted halfway back to the shares in which they occur (square root), so that the rarer
@@ -23,6 +24,7 @@ ignored.
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posture.llm.common import LOWER, UPPER, remainder, slices, table, texts_of
+from posture.llm.common import LOWER, UPPER, durable, remainder, table
 
 #: Label columns in chain order, and the value that counts as positive.
 CHAIN = (("quality", 0), ("toxic", 1))
-TRAIN_DOCS = 3_000
-MARKS = 2_000
+TRAIN_DOCS = 4_000
+MARKS = 4_000
 MIN_DOCS = 4
 BEGINNINGS = (4, 5, 6, 7)
 SHARED_BY = (1, 2, 4)
@@ -44,8 +46,12 @@ OOF_FOLDS = 3
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.35
 RIDGE = 3e-4
-#: Newton steps of a fit, and conjugate-gradient turns of a step.
-STEPS, TURNS = 8, 12
+#: Length of the gradient at which a fit ends, as a share of its length at the beginning.
+TOLERANCE = 1e-5
+#: Compression level of texts that are sent to their labels.
+PACKED = 6
+#: Marks that a task counts before it hands them on.
+COUNTED = 500_000
 KNOWN_WORDS = 300_000
 #: Fixed value: words, and runs of ASCII signs between them, after A-Z are lower-cased.
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[!-/:-@\[-`{-~]+")
@@ -101,11 +107,11 @@ class Reader:
 class Rows:
     """Sparse rows of marks (present or not) beside a few dense columns."""
 
-    def __init__(self, found: list[list[int]], dense: np.ndarray, n_marks: int):
+    def __init__(self, found: list, dense: np.ndarray, n_marks: int):
         self.n, self.n_marks = len(found), n_marks
-        sizes = [len(f) for f in found]
-        self.row = np.repeat(np.arange(self.n), sizes)
-        self.mark = np.array([m for f in found for m in f], dtype=np.int64)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(f) for f in found])
+        empty = np.zeros(0, dtype=np.int32)
+        self.mark = np.concatenate([empty, *(np.asarray(f, dtype=np.int32) for f in found)])
         self.dense = dense
 
     def times(self, beta: np.ndarray) -> np.ndarray:
@@ -116,11 +122,16 @@ class Rows:
         sparse = np.bincount(self.mark, weights=u[self.row], minlength=self.n_marks)
         return np.concatenate((sparse, self.dense.T @ u))
 
+    def squares_back(self, u: np.ndarray) -> np.ndarray:
+        """As ``back``, with the squares of the rows' values."""
+        sparse = np.bincount(self.mark, weights=u[self.row], minlength=self.n_marks)
+        return np.concatenate((sparse, (self.dense**2).T @ u))
+
     def some(self, keep: np.ndarray) -> Rows:
         part = Rows([], self.dense[keep], self.n_marks)
         part.n = int(keep.sum())
         inside = keep[self.row]
-        part.row = (np.cumsum(keep) - 1)[self.row[inside]]
+        part.row = (np.cumsum(keep) - 1).astype(np.int32)[self.row[inside]]
         part.mark = self.mark[inside]
         return part
 
@@ -135,7 +146,11 @@ def _curve(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: Rows, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps with conjugate gradients."""
+    """Weights of a ridge logistic regression by Newton steps with conjugate gradients.
+
+    Steps are halved until they lessen the loss, so the fit always ends at its tolerance; if
+    rounding stops it before, a warning says so.
+    """
     n_beta = rows.n_marks + rows.dense.shape[1]
     beta = np.zeros(n_beta)
     ridge = np.full(n_beta, RIDGE * weight.sum())
@@ -144,27 +159,45 @@ def fit(rows: Rows, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         share = float(np.clip(y.mean() if rows.n else 0.0, 1e-6, 1 - 1e-6))
         beta[rows.n_marks] = np.log(share / (1 - share))
         return beta
-    for _ in range(STEPS):
-        p = _curve(rows.times(beta))
+
+    def loss(z: np.ndarray, at: np.ndarray) -> float:
+        return float(weight @ (np.logaddexp(0, z) - y * z) + ridge @ at**2 / 2)
+
+    z = rows.times(beta)
+    now = loss(z, beta)
+    first = None
+    while True:
+        p = 1.0 / (1.0 + np.exp(-z))
         gradient = rows.back(weight * (y - p)) - ridge * beta
+        length = float(np.linalg.norm(gradient))
+        first = first or length
+        if length <= TOLERANCE * first:
+            return beta
         curved = weight * np.maximum(p * (1 - p), 1e-9)
-        step = np.zeros(n_beta)
-        rest, way = gradient.copy(), gradient.copy()
-        size = rest @ rest
-        begin = size
-        for _ in range(TURNS):
-            if size <= 1e-4 * begin:
+        scaled = 1 / (rows.squares_back(curved) + ridge)
+        step, rest = np.zeros(n_beta), gradient.copy()
+        way = scaled * rest
+        size = rest @ way
+        # Close to the end steps are solved more exactly.
+        enough = min(0.1, (length / first) ** 0.5) * length
+        for _ in range(n_beta):
+            if np.linalg.norm(rest) <= enough:
                 break
             bent = rows.back(curved * rows.times(way)) + ridge * way
             scale = size / (way @ bent)
             step += scale * way
             rest -= scale * bent
-            size, before = rest @ rest, size
-            way = rest + (size / before) * way
-        beta += step
-        if np.abs(step).max() < 1e-2:
-            break
-    return beta
+            aside = scaled * rest
+            size, before = rest @ aside, size
+            way = aside + (size / before) * way
+        moved, part = rows.times(step), 1.0
+        while (after := loss(z + part * moved, beta + part * step)) >= now and part > 1e-9:
+            part /= 2
+        if after >= now:
+            warnings.warn(f"fit ended at {length / first:.1e} of its first gradient", stacklevel=2)
+            return beta
+        beta, now = beta + part * step, after
+        z = rows.times(beta)
 
 
 def _dense(n_words: np.ndarray) -> np.ndarray:
@@ -175,7 +208,7 @@ class Chain:
     def __init__(self, chosen: list[str], names: list[str], links: list[np.ndarray]):
         self.chosen, self.names, self.links = chosen, names, links
 
-    def predict(self, found: list[list[int]], n_words: list[int]) -> np.ndarray:
+    def predict(self, found: list, n_words: list[int]) -> np.ndarray:
         """One column of probabilities per label."""
         rows = Rows(found, _dense(np.array(n_words, dtype=float)), len(self.chosen))
         out = []
@@ -186,14 +219,32 @@ class Chain:
         return np.column_stack(out)
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, chain) -> tuple[DataFrame, list[float]]:
-    """id, text, labels and class of a bounded number of documents; the classes' weights."""
+def known_labels(labels: DataFrame, chain) -> DataFrame:
+    """id and labels of the rows that have all labels."""
     known = labels.select(
         F.col("doc_id").cast("bigint").alias("__id"),
         *((F.col(n) == value).cast("int").alias(f"__is_{n}") for n, value in chain),
     ).dropna()
     any_ = F.greatest(*(F.col(f"__is_{n}") for n, _ in chain), F.lit(0))
-    known = known.withColumn("__any", any_)
+    return known.withColumn("__any", any_)
+
+
+def labelled_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """All labelled documents with their compressed texts."""
+
+    @F.pandas_udf("binary")
+    def pack(texts):
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=PACKED)
+        return texts.map(lambda t: packer.compress((t or "").encode("utf-8", "surrogatepass")))
+
+    packed = docs.select(F.col("doc_id").cast("bigint").alias("__id"), pack("text").alias("packed"))
+    return packed.filter(F.col("__id").isNotNull()).join(known, "__id")
+
+
+def training_texts(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, list[float]]:
+    """id, text, labels and class of a bounded number of documents; the classes' weights."""
     counts = {r["__any"]: r["n"] for r in known.groupBy("__any").agg(F.count("*").alias("n")).collect()}
     drawn = None
     for value in (0, 1):
@@ -216,23 +267,40 @@ def choose_marks(rows: DataFrame, names: list[str]) -> list[str]:
     flags = [f"__is_{n}" for n in names]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            seen: dict[tuple, Counter] = {}
-            keys = zip(*(batch.column(f).to_pylist() for f in flags), strict=True)
-            for key, text in zip(keys, texts_of(batch), strict=True):
-                seen.setdefault(key, Counter()).update(marks(text))
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        seen: dict[tuple, Counter] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
             for key, found in seen.items():
                 columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
                 columns += [pa.array([v] * len(found), pa.int32()) for v in key]
                 yield pa.RecordBatch.from_arrays(columns, names=["mark", "n", *flags])
+            seen.clear()
+
+        for batch in batches:
+            keys = zip(*(batch.column(f).to_pylist() for f in flags), strict=True)
+            for key, text in zip(keys, batch.column("packed"), strict=True):
+                found = seen.setdefault(key, Counter())
+                found.update(marks(unpack(text.as_py()).decode("utf-8", "surrogatepass")))
+                found[""] += 1  # the number of rows goes along as a mark without a name
+                if sum(map(len, seen.values())) > COUNTED:
+                    yield from counted()
+        yield from counted()
 
     kinds = ", ".join(["mark string", "n bigint", *(f"{f} int" for f in flags)])
-    counted = rows.select("text", *flags).mapInArrow(count, kinds)
-    sizes = rows.agg(F.count("*").alias("n"), *(F.sum(f).alias(f) for f in flags)).first()
+    counted = rows.select("packed", *flags).mapInArrow(count, kinds)
+    sums = durable(
+        counted.groupBy("mark").agg(
+            F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(f)).alias(f) for f in flags)
+        ).filter((F.col("n") >= MIN_DOCS) | (F.col("mark") == ""))
+    )
+    sizes = sums.filter("mark = ''").first()
+    if sizes is None:
+        return []
+    sums = sums.filter("mark <> ''")
     total = sizes["n"]
-    sums = counted.groupBy("mark").agg(
-        F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(f)).alias(f) for f in flags)
-    ).filter(F.col("n") >= MIN_DOCS)
     chosen: set[str] = set()
     for flag in flags:
         yes = sizes[flag] or 0
@@ -248,8 +316,9 @@ def choose_marks(rows: DataFrame, names: list[str]) -> list[str]:
 
 def train(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> Chain:
     names = [n for n, _ in chain]
-    rows, class_weight = training_texts(docs, labels, chain)
-    chosen = choose_marks(rows, names)
+    known = known_labels(labels, chain)
+    rows, class_weight = training_texts(docs, known)
+    chosen = choose_marks(labelled_texts(docs, known), names)
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     @F.pandas_udf("found array<int>, n_words int")
@@ -268,21 +337,40 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> Chain:
         .toPandas()
     )
     weight = np.array([class_weight[v] for v in taken["__any"]])
-    found = [list(f) for f in taken["found"]]
-    features = Rows(found, _dense(taken["n_words"].to_numpy(dtype=float)), len(chosen))
+    features = Rows(list(taken["found"]), _dense(taken["n_words"].to_numpy(dtype=float)), len(chosen))
     fold = (taken["__doc"].to_numpy(dtype=np.int64) * 2654435761 % (1 << 32) >> 16) % OOF_FOLDS
     links = []
     for name in names:
         y = taken[f"__is_{name}"].to_numpy(dtype=float)
+        *folds, whole = _fits(docs.sparkSession, features, y, weight, fold)
+        links.append(whole)
         unseen = np.zeros(len(y))
-        for k in range(OOF_FOLDS):
-            own = fit(features.some(fold != k), y[fold != k], weight[fold != k])
+        for k, own in enumerate(folds):
             unseen[fold == k] = features.some(fold == k).times(own)
-        links.append(fit(features, y, weight))
         features = features.with_column(np.clip(unseen, -30, 30))
     return Chain(chosen, names, links)
 
 
+def _fits(spark: SparkSession, features: Rows, y, weight, fold) -> list[np.ndarray]:
+    """The fits without each fold and the one on all rows, side by side on the executors."""
+    shared = spark.sparkContext.broadcast((features, y, weight, fold))
+
+    def one(k: int) -> tuple[np.ndarray, list[str]]:
+        features, y, weight, fold = shared.value
+        keep = fold != k
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            return fit(features.some(keep), y[keep], weight[keep]), [str(w.message) for w in said]
+
+    n = OOF_FOLDS + 1
+    found = spark.sparkContext.parallelize(range(n), n).map(one).collect()
+    for _, said in found:
+        for message in said:
+            warnings.warn(message, stacklevel=2)
+    shared.unpersist()
+    return [beta for beta, _ in found]
+
+
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """The documents with ``__p_<label>`` for every link of the chain."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)

@@ -564,6 +564,31 @@ def test_toxicity_on_held_out_documents(spark):
     assert (found[found["y"] == 0]["predicted"] == 0).mean() >= 0.97
 
 
+def test_toxicity_fit_ends_at_its_tolerance():
+    rng = np.random.default_rng(3)
+    found = [sorted(set((rng.random(30) ** 3 * 400).astype(int))) for _ in range(500)]
+    rows = toxicity.Rows(found, toxicity._dense(np.array([len(f) for f in found], float)), 400)
+    y, weight = (rng.random(500) < 0.1).astype(float), np.ones(500)
+    ridge = np.full(402, toxicity.RIDGE * 500)
+    ridge[400] = 1e-9
+
+    def length(beta):
+        p = 1 / (1 + np.exp(-rows.times(beta)))
+        return np.linalg.norm(rows.back(weight * (y - p)) - ridge * beta)
+
+    assert length(toxicity.fit(rows, y, weight)) <= 1e-5 * length(np.zeros(402))
+
+
+def test_toxicity_counts_marks_over_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 20)
+    rows = [(i, f"plain words {'zorgle' if i % 50 == 0 else 'other'} n{i}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame(
+        [(i, 1, int(i % 5 == 0)) for i in range(800)], "doc_id bigint, quality int, toxic int"
+    )
+    assert "=zorgle" in toxicity.train(docs, labels).chosen
+
+
 def test_models_on_awkward_tables(spark, docs, empty):
     labels = "doc_id bigint, quality int, toxic int"
     some = spark.createDataFrame(
