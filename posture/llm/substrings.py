@@ -1,9 +1,9 @@
-"""Substring dedup with prefix-partitioned suffix trees.
+"""Substring dedup by sorted windows, partitioned by prefix, in place of suffix trees.
 
 A window is ``WINDOW`` consecutive words. Words of a document that lie in a window whose words
 also start earlier (smaller id, or same document and earlier start) are removed.
 
-Only suffixes that can share a window are put into trees:
+Only suffixes that can share a window are sorted:
 
 1. *Anchors.* In every window the ``ANCHOR``-word group with the smallest hash is chosen, the
    leftmost of equals. Equal windows choose equal anchors at equal places. Windows of a
@@ -18,10 +18,10 @@ Only suffixes that can share a window are put into trees:
    than ``HEAVY`` open stretches. Of equal suffixes that a task fetches within ``GROUP`` of
    each other only the earliest is sent on, so a passage held by a third of all documents
    arrives once per that many.
-4. *Trees.* A task gathers whole prefix groups up to ``GROUP`` suffixes and builds their
-   suffix tree, as sorted suffixes with the lengths of their common prefixes; a run of common
-   prefixes of ``WINDOW`` words is a deep internal node. Its earliest leaf stays, the others
-   are repeats. Words are compared, not hashes.
+4. *Sorted windows.* A task gathers whole prefix groups up to ``GROUP`` suffixes and sorts
+   their first ``WINDOW`` words; a run of equal ones is what a deep internal node of their
+   suffix tree would hold. Its earliest leaf stays, the others are repeats. Words are
+   compared, not hashes.
 
 Defined results: a NULL text has no words; texts of fewer words than a window lose nothing;
 NULL ids come before all others; rows that share an id are ordered by a hash of their text,
@@ -180,9 +180,8 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deep_nodes(suffixes: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes, and True where one shares all words with the one before.
 
-    Sorted suffixes with the lengths of their common prefixes are the suffix tree; runs of
-    whole-window prefixes are its deep internal nodes. Leaves of a node come in the order of
-    ``place``.
+    Runs of equal windows are what the deep internal nodes of a suffix tree would hold. Leaves
+    of a node come in the order of ``place``.
     """
     order = np.lexsort((*place[::-1], *suffixes.T[::-1]))
     ranked = suffixes[order]
