@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from posture.llm.alignment import op13_cross_tokenizer_alignment
 from posture.llm.benchmark import OP7_SQL, op7_benchmark_decontamination
 from posture.llm.fingerprints import OP1_SQL, op1_document_fingerprints
 from posture.llm.language import op6_language_id
@@ -15,7 +16,9 @@ from posture.llm.pages import op2_html_extraction
 from posture.llm.quality import op10_quality_classifier
 from posture.llm.simhash import op4_simhash_near_dedup
 from posture.llm.substrings import OP9_SQL, op9_substring_dedup
+from posture.llm.topk import OP12_SQL, op12_exact_top_k
 from posture.llm.toxicity import op8_toxicity
+from posture.llm.whitening import op11_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_exact_top_k": op12_exact_top_k,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 ORACLE_SQL = {
@@ -35,4 +41,5 @@ ORACLE_SQL = {
     "op3_line_dedup": OP3_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op12_exact_top_k": OP12_SQL,
 }

@@ -60,7 +60,7 @@ def empty(spark):
 @pytest.fixture(scope="module")
 def engine():
     connection = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "embeddings"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     yield connection
     connection.close()
