@@ -45,6 +45,8 @@ VOCABULARY_B = "piece_bpe_32k.model"
 #: Segments that a task remembers, and the longest that it does; beyond them it starts anew.
 KNOWN_SEGMENTS = 200_000
 KNOWN_LENGTH = 64
+#: New segments that are encoded as one text.
+JOINED = 1024
 #: A single space between two characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: B's sign for a space, and bytes that A's vocabulary shows as themselves.
@@ -79,6 +81,10 @@ class Vocabularies:
         self.bytes_b = [self._piece(k) for k in range(self.b.get_piece_size())]
         self.length_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
+        numbers = [str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.comma, self.bar, self.semicolon = (
+            np.array([n + sign for n in numbers], dtype=object) for sign in ",|;"
+        )
 
     def _piece(self, number: int) -> bytes:
         if self.b.is_control(number) or self.b.is_unknown(number):
@@ -159,22 +165,34 @@ class Aligner:
         self.first = np.zeros(0, dtype=np.int64)
 
     def learn(self, segments: list[str]) -> None:
+        """Align new segments; those without white space at their ends are encoded as one text."""
+        plain = [s for s in segments if not (s[0].isspace() or s[-1].isspace())]
+        odd = [[s] for s in segments if s[0].isspace() or s[-1].isspace()]
+        self._learn([plain[i : i + JOINED] for i in range(0, len(plain), JOINED)] + odd)
+
+    def _learn(self, units: list[list[str]]) -> None:
         words = self.words
-        found_a = words.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)
-        ids_a = [x.ids for x in found_a]
-        ids_b = words.b.encode(segments, num_threads=1)
-        whole = np.ones(len(segments), dtype=bool)
-        for at, segment in enumerate(segments):
-            raw = b" " + segment.encode("utf-8")
+        texts = [" ".join(unit) for unit in units]
+        found = words.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        ids_a, ids_b = [x.ids for x in found], words.b.encode(texts, num_threads=1)
+        broken = []
+        for at, text in enumerate(texts):
+            raw = b" " + text.encode("utf-8")
             same_a = b"".join([words.bytes_a[k] for k in ids_a[at]]) == raw
             if not (same_a and b"".join([words.bytes_b[k] for k in ids_b[at]]) == raw):
-                whole[at] = False
-                ids_a[at] = ids_b[at] = []
-        n_a = np.array([len(x) for x in ids_a], dtype=np.int64)
-        n_b = np.array([len(x) for x in ids_b], dtype=np.int64)
-        flat_a = np.fromiter(itertools.chain.from_iterable(ids_a), np.int64, n_a.sum())
-        flat_b = np.fromiter(itertools.chain.from_iterable(ids_b), np.int64, n_b.sum())
-        # Segments lie one behind the other, so one call aligns them all.
+                broken.append(units[at])
+                units[at], ids_a[at], ids_b[at] = [], [], []
+        self._add([s for unit in units for s in unit], ids_a, ids_b)
+        if broken and max(map(len, broken)) > 1:
+            self._learn([[s] for unit in broken for s in unit])
+        elif broken:
+            self._add([s for (s,) in broken], [], [])
+
+    def _add(self, segments: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> None:
+        """Note segments that lie one behind the other; without tokens they are broken."""
+        words = self.words
+        flat_a = np.fromiter(itertools.chain.from_iterable(ids_a), np.int64)
+        flat_b = np.fromiter(itertools.chain.from_iterable(ids_b), np.int64)
         ends_a, ends_b = np.cumsum(words.length_a[flat_a]), np.cumsum(words.length_b[flat_b])
         label = terminals(ends_a, ends_b)
         # A terminal token is always one of B; the token of A that ends there is linked to it.
@@ -182,24 +200,33 @@ class Aligner:
         last_a = np.flatnonzero(np.append(group_a[1:] != group_a[:-1], True)[: len(flat_a)])
         last_b = group_a[last_a]
         links = self.pairs.numbers(flat_a[last_a], flat_b[last_b])
-        segment_of = np.repeat(np.arange(len(segments)), n_a)[last_a]
-        n_links = np.bincount(segment_of, minlength=len(segments))
-        first = np.cumsum(n_links) - n_links
-        names_a, names_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        shown, begin_a, begin_b = [], 0, 0
-        for end_a, end_b in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
-            left, right = ",".join(names_a[begin_a:end_a]), ",".join(names_b[begin_b:end_b])
-            shown.append(left + "|" + right)
-            begin_a, begin_b = end_a, end_b
-        start = len(self.text)
-        for begin, n in zip(first.tolist(), n_links.tolist(), strict=True):
-            self.text.append(";".join(shown[begin : begin + n]))
+        size = np.array([1 + len(s.encode("utf-8")) for s in segments], dtype=np.int64)
+        end = np.cumsum(size) * bool(len(flat_a))
+
+        def per_segment(ends: np.ndarray) -> np.ndarray:
+            return np.diff(np.searchsorted(ends, end, side="right"), prepend=0)
+
+        # Tokens of a group: A's, then B's, each with the sign that stands behind it.
+        shown = np.empty(len(flat_a) + len(flat_b), dtype=object)
+        number_a, number_b = np.searchsorted(last_b, group_a), np.searchsorted(last_b, group_b)
+        place_a = np.arange(len(flat_a)) + np.append(0, last_b + 1)[number_a]
+        place_b = np.arange(len(flat_b)) + last_a[number_b] + 1
+        shown[place_a] = words.comma[flat_a]
+        shown[place_b] = words.comma[flat_b]
+        shown[place_a[last_a]] = words.bar[flat_a[last_a]]
+        shown[place_b[last_b]] = words.semicolon[flat_b[last_b]]
+        n_a, n_b, n_links = per_segment(ends_a), per_segment(ends_b), per_segment(ends_a[last_a])
+        tokens, start, begin = shown.tolist(), len(self.text), 0
+        for stop in np.cumsum(n_a + n_b).tolist():
+            self.text.append("".join(tokens[begin:stop]))
+            begin = stop
         self.known.update(zip(segments, range(start, start + len(segments)), strict=True))
-        self.first = np.concatenate((self.first, first + len(self.links)))
+        first = np.cumsum(n_links) - n_links + len(self.links)
+        self.first = np.concatenate((self.first, first))
         self.links = np.concatenate((self.links, links.astype(np.int32)))
         self.n_links = np.concatenate((self.n_links, n_links))
         self.n_a, self.n_b = np.concatenate((self.n_a, n_a)), np.concatenate((self.n_b, n_b))
-        self.whole = np.concatenate((self.whole, whole))
+        self.whole = np.concatenate((self.whole, n_a > 0))
 
     def align(self, texts: list[str | None]) -> dict[str, pa.Array]:
         """The columns of ``ALIGNED_SCHEMA`` after the id."""
@@ -233,7 +260,7 @@ class Aligner:
         numbers = found.tolist()
         ends = np.cumsum(n_segments).tolist()
         groups = [
-            ";".join([self.text[k] for k in numbers[a:b]])
+            "".join([self.text[k] for k in numbers[a:b]])[:-1]
             for a, b in zip([0, *ends], ends, strict=False)
         ]
         links = summed(self.n_links)
