@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TIE_BREAK = "version"
+IS_NEWEST = "is_newest"
 
 
 def _hashable(value: Column, kind: T.DataType) -> Column:
@@ -41,6 +44,42 @@ def _holds_map(kind: T.DataType) -> bool:
     return False
 
 
+def _tie_break(history: DataFrame) -> Column:
+    if TIE_BREAK in history.columns:
+        return F.col(TIE_BREAK)
+    return F.xxhash64(*(_hashable(F.col(f.name), f.dataType) for f in history.schema))
+
+
+def newest_and_counts(
+    history: DataFrame,
+    key: str,
+    changed_at: str,
+    live: Column,
+    counts: Mapping[str, Column],
+    rank_before_live_filter: bool = False,
+    among: Column | None = None,
+) -> DataFrame:
+    """One row per ``key`` over a single scan: its newest live version, and counts of all.
+
+    The picks are those of :func:`latest`, taken by an aggregate that keeps one row per key
+    and task before the shuffle. ``among`` limits the versions that can be picked, ``counts``
+    looks at every one. Without a version to pick ``IS_NEWEST`` is false.
+    """
+    candidate = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    alive = F.coalesce(live, F.lit(False))
+    if not rank_before_live_filter:
+        candidate = candidate & alive
+    row = F.struct(alive.alias(IS_NEWEST), *history.columns)
+    place = F.struct(F.col(changed_at).alias("at"), _tie_break(history).alias("tie"))
+    newest = F.max_by(F.when(candidate, row), F.when(candidate, place))
+    grouped = history.groupBy(F.col(key).alias("_entity")).agg(
+        newest.alias("_newest"), *(F.count_if(c).alias(n) for n, c in counts.items())
+    )
+    return grouped.select("_newest.*", *counts).withColumn(
+        IS_NEWEST, F.coalesce(IS_NEWEST, F.lit(False))
+    )
+
+
 def latest(
     history: DataFrame,
     key: str,
@@ -58,10 +97,7 @@ def latest(
     keeps one row per key and map task before the shuffle (WindowGroupLimit), so a
     key with very many versions does not pile up in one task.
     """
-    if TIE_BREAK in history.columns:
-        tie = F.col(TIE_BREAK)
-    else:
-        tie = F.xxhash64(*(_hashable(F.col(f.name), f.dataType) for f in history.schema))
+    tie = _tie_break(history)
     newest_first = Window.partitionBy(key).orderBy(F.col(changed_at).desc(), tie.desc())
     candidates = history if rank_before_live_filter else history.where(live)
     newest = (

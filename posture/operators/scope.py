@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posture.config import AssessmentConfig
@@ -35,16 +35,14 @@ def candidate_catalogs(catalogs: DataFrame, config: AssessmentConfig) -> DataFra
 def scope_frame(catalogs: DataFrame, config: AssessmentConfig) -> DataFrame:
     """``(catalog_name, mode)``: production catalogs, or all when none matches.
 
-    One scan; only catalog names meet in the window.
+    Whether any matches is one row, found by a partial aggregate and joined back on the
+    flag it is compared with, so names stay in their partitions.
     """
-    hit = F.max("production").over(Window.partitionBy())
-    return (
-        candidate_catalogs(catalogs, config)
-        .withColumn("hit", hit)
-        .where(F.col("production") == F.col("hit"))
-        .select(
-            "catalog_name", F.when(F.col("hit"), PRODUCTION).otherwise(EVERYTHING).alias("mode")
-        )
+    names = candidate_catalogs(catalogs, config)
+    hit = names.agg(F.max("production").alias("hit"))
+    mode = F.when(F.col("hit"), PRODUCTION).otherwise(EVERYTHING)
+    return names.join(hit, F.col("production") == F.col("hit")).select(
+        "catalog_name", mode.alias("mode")
     )
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from posture import fixed_values as fixed
 from posture.functions.text import has_any, like, like_any, lowered, matches, named
 from posture.operators.evidence import (
+    Days,
     Distinct,
     Groups,
     Highest,
     Mean,
     Pass,
     Rows,
-    TopK,
+    Top,
     Total,
 )
 from posture.operators.run import Run
@@ -32,7 +33,7 @@ def queries(run: Run) -> Pass:
     """One scan of the query log for every question about queries.
 
     Principals are the carrier; dashboards and alerts are spread keys, present on
-    few rows. The statement text is read once and reduced to flags before the
+    few rows; clients are counted, a few per principal. The statement text is read once and reduced to flags before the
     aggregate.
     """
     frame = run.recent(HISTORY, "start_time")
@@ -55,6 +56,9 @@ def queries(run: Run) -> Pass:
     on_history = on_system & like(text, fixed.HISTORY_TEXT)
     select = F.col("statement_type") == "SELECT"
     with_file_counts = done & (pruned + opened > 0)
+    client = F.col("client_application")
+    named_client = client.isNotNull()
+    partner = has_any(F.lower(client), fixed.PARTNER_TOOLS)
 
     def done_total(name: str) -> Total:
         return Total(F.when(done, _or_zero(name)))
@@ -124,6 +128,12 @@ def queries(run: Run) -> Pass:
         "joins_spilling": Rows(joins & spilled),
         "joins_shuffled": Total(F.when(joins, shuffled)),
         "joins_read": Total(F.when(joins, read)),
+        "days": Days(F.to_date("start_time"), *run.days()),
+        # The most frequent clients are for the wording; the totals count all of them.
+        "clients": Top("client", 10, named_client),
+        "client_queries": Rows(named_client),
+        "partner_queries": Rows(partner),
+        "partners": Distinct("client", partner),
     }
     return Pass(
         frame,
@@ -136,37 +146,7 @@ def queries(run: Run) -> Pass:
             ),
             "alert": F.col("query_source.alert_id"),
         },
-    )
-
-
-@evidence("query_days", HISTORY)
-def query_days(run: Run) -> Pass:
-    """Days with queries; reads the start time only."""
-    frame = run.recent(HISTORY, "start_time").select(F.to_date("start_time").alias("day"))
-    return Pass(frame, {"query_days.total": Distinct("day")}, carrier=("day",))
-
-
-@evidence("clients", HISTORY)
-def clients(run: Run) -> TopK:
-    """The most frequent clients, for the wording only; totals are in ``client_totals``."""
-    frame = run.recent(HISTORY, "start_time").where(F.col("client_application").isNotNull())
-    return TopK(frame, F.col("client_application"), 10)
-
-
-@evidence("client_totals", HISTORY)
-def client_totals(run: Run) -> Pass:
-    """Queries of all clients, and the partner tools among them."""
-    frame = run.recent(HISTORY, "start_time").where(F.col("client_application").isNotNull())
-    partner = has_any(F.lower(F.col("client_application")), fixed.PARTNER_TOOLS)
-    return Pass(
-        frame,
-        {
-            "client_totals.queries": Rows(),
-            "client_totals.clients": Groups(),
-            "client_totals.partner_queries": Rows(partner),
-            "client_totals.partners": Groups(partner),
-        },
-        carrier=("client_application",),
+        keys={"client": client},
     )
 
 

@@ -15,25 +15,29 @@ from posture.operators.evidence import (
     Mean,
     Pass,
     Rows,
-    TopK,
+    Top,
+    Total,
 )
-from posture.operators.latest import TIE_BREAK, latest
+from posture.operators.latest import IS_NEWEST, TIE_BREAK, latest, newest_and_counts
 from posture.operators.run import Run
+from posture.operators.scope import IN_SCOPE
 from posture.plans.passes import evidence
 from posture.sources.schemas import SCHEMAS
 
 LIVE = "delete_time"
 
 
+def _narrow(source: str, history: DataFrame, *more: str) -> DataFrame:
+    """Dropping columns that nothing reads keeps them out of the scan and the tie-break."""
+    known = {f.name for f in T.StructType.fromDDL(SCHEMAS[source])} | {TIE_BREAK, *more}
+    return history.select(*(c for c in history.columns if c in known))
+
+
 def _latest(
     run: Run, source: str, history: DataFrame, key: str, at: str = "change_time", live: str = LIVE
 ) -> DataFrame:
-    """Latest live versions, with only the columns that measurements read.
-
-    Dropping the others first keeps them out of the scan and out of the tie-break.
-    """
-    known = {f.name for f in T.StructType.fromDDL(SCHEMAS[source])} | {TIE_BREAK}
-    narrow = history.select(*(c for c in history.columns if c in known))
+    """Latest live versions, with only the columns that measurements read."""
+    narrow = _narrow(source, history)
     return latest(
         narrow.where(run.known(narrow, at)),
         key,
@@ -87,44 +91,40 @@ def tasks(run: Run) -> Pass:
     )
 
 
-@evidence("pipeline_versions", "lakeflow.pipelines")
-def pipeline_versions(run: Run) -> Pass:
-    """Live versions, as counted by the questions that do not look at the latest only."""
-    every = run.sources.frame("lakeflow.pipelines")
-    frame = every.where(run.known(every, "change_time") & run.alive(every, LIVE))
+@evidence("pipelines", "lakeflow.pipelines")
+def pipelines(run: Run) -> Pass:
+    """Latest versions, and all live ones for the questions that count these."""
+    every = _narrow("lakeflow.pipelines", run.sources.frame("lakeflow.pipelines"))
+    every = every.where(run.known(every, "change_time"))
+    live = run.alive(every, LIVE)
     kind = lowered(F.col("pipeline_type"))
-    return Pass(
-        frame,
+    frame = newest_and_counts(
+        every,
+        "pipeline_id",
+        "change_time",
+        live,
         {
-            "pipeline_versions.total": Rows(),
-            "pipeline_versions.ingestion": Rows(has_any(kind, fixed.INGESTION_PIPELINES)),
-            "pipeline_versions.continuous": Rows(F.col("settings.continuous")),
+            "_versions": live,
+            "_ingestion": live & has_any(kind, fixed.INGESTION_PIPELINES),
+            "_continuous": live & F.col("settings.continuous"),
         },
+        run.config.rank_before_live_filter,
     )
-
-
-@evidence("pipelines", "lakeflow.pipelines")
-def pipelines(run: Run) -> Pass:
-    frame = _latest(
-        run, "lakeflow.pipelines", run.sources.frame("lakeflow.pipelines"), "pipeline_id"
-    )
+    newest = F.col(IS_NEWEST)
     return Pass(
         frame,
         {
-            "pipelines.total": Rows(),
-            "pipelines.serverless": Rows(F.col("settings.serverless")),
-            "pipelines.continuous": Rows(F.col("settings.continuous")),
-            "pipelines.development": Rows(F.col("settings.development")),
+            "pipelines.total": Rows(newest),
+            "pipelines.serverless": Rows(newest & F.col("settings.serverless")),
+            "pipelines.continuous": Rows(newest & F.col("settings.continuous")),
+            "pipelines.development": Rows(newest & F.col("settings.development")),
+            "pipelines.versions": Total(F.col("_versions")),
+            "pipelines.ingestion_versions": Total(F.col("_ingestion")),
+            "pipelines.continuous_versions": Total(F.col("_continuous")),
         },
     )
 
 
-def _recent_clusters(run: Run) -> DataFrame:
-    return _latest(
-        run, "compute.clusters", run.recent("compute.clusters", "change_time"), "cluster_id"
-    )
-
-
 @evidence("clusters", "compute.clusters")
 def clusters(run: Run) -> Pass:
     low, high = F.col("min_autoscale_workers"), F.col("max_autoscale_workers")
@@ -141,8 +141,11 @@ def clusters(run: Run) -> Pass:
         | lowered(F.to_json("azure_attributes")).contains("spot")
         | lowered(F.to_json("gcp_attributes")).contains("preemptible")
     )
+    frame = _latest(
+        run, "compute.clusters", run.recent("compute.clusters", "change_time"), "cluster_id"
+    )
     return Pass(
-        _recent_clusters(run),
+        frame,
         {
             "clusters.total": Rows(),
             "clusters.with_policy": Rows(F.col("policy_id") != ""),
@@ -159,14 +162,9 @@ def clusters(run: Run) -> Pass:
             "clusters.current_node": Rows(
                 has_any(lowered(F.col("worker_node_type")), fixed.CURRENT_INSTANCE_FAMILIES)
             ),
+            "clusters.node_types": Top("node_type", 8),
         },
-    )
-
-
-@evidence("node_types", "compute.clusters")
-def node_types(run: Run) -> TopK:
-    return TopK(
-        _recent_clusters(run), F.coalesce(F.col("worker_node_type"), F.lit("unknown")), 8
+        keys={"node_type": F.coalesce(F.col("worker_node_type"), F.lit("unknown"))},
     )
 
 
@@ -187,47 +185,46 @@ def warehouses(run: Run) -> Pass:
     )
 
 
-@evidence("storage", "storage.table_metrics_history", scoped=True)
+STORAGE = "storage.table_metrics_history"
+
+
+@evidence("storage", STORAGE, scoped=True, unscoped=("storage.clones",))
 def storage(run: Run) -> Pass:
-    """Latest snapshot per table in scope. Catalog and schema are fixed for a table
-    id, so the scope is applied before the snapshots are ranked."""
-    history = run.scope.restrict(
-        run.sources.frame("storage.table_metrics_history"), "catalog_name", "schema_name"
-    )
-    frame = _latest(
-        run,
-        "storage.table_metrics_history",
+    """Latest snapshot per table in scope, and recent clones of any table.
+
+    Catalog and schema are fixed for a table id, so the scope holds for all its snapshots.
+    """
+    history = run.marked(run.sources.frame(STORAGE), "catalog_name", "schema_name")
+    history = _narrow(STORAGE, history, IN_SCOPE)
+    history = history.where(run.known(history, "snapshot_date"))
+    recent = run.since(history, "snapshot_date", fixed.CLONE_WINDOW_DAYS)
+    cloned = recent & F.col("clone_details").isNotNull() & F.col("table_id").isNotNull()
+    frame = newest_and_counts(
         history,
         "table_id",
         "snapshot_date",
-        "table_dropped_time",
+        run.alive(history, "table_dropped_time"),
+        {"_clones": cloned},
+        run.config.rank_before_live_filter,
+        among=F.col(IN_SCOPE),
     )
+    newest = F.col(IS_NEWEST)
     setting = lowered(F.col("predictive_optimization_enabled"))
-    with_files = F.coalesce("active_files", F.lit(0)) > 0
+    with_files = newest & (F.coalesce("active_files", F.lit(0)) > 0)
     file_bytes = F.when(with_files, F.try_divide("active_bytes", "active_files"))
     return Pass(
         frame,
         {
-            "storage.tables": Rows(),
-            "storage.automatic": Rows(has_any(setting, ("enable", "inherit", "true"))),
+            "storage.tables": Rows(newest),
+            "storage.automatic": Rows(newest & has_any(setting, ("enable", "inherit", "true"))),
             "storage.small": Rows(
-                F.coalesce("active_bytes", F.lit(0)).between(1, fixed.SMALL_TABLE_BYTES)
+                newest
+                & F.coalesce("active_bytes", F.lit(0)).between(1, fixed.SMALL_TABLE_BYTES)
             ),
             "storage.with_files": Rows(with_files),
             "storage.healthy_files": Rows(file_bytes >= fixed.HEALTHY_FILE_BYTES),
             "storage.small_files": Rows(file_bytes < fixed.HEALTHY_FILE_BYTES),
             "storage.file_bytes": Mean(file_bytes),
+            "storage.clones": Rows(F.col("_clones") > 0),
         },
     )
-
-
-@evidence("clones", "storage.table_metrics_history")
-def clones(run: Run) -> Pass:
-    frame = run.recent(
-        "storage.table_metrics_history", "snapshot_date", fixed.CLONE_WINDOW_DAYS
-    )
-    return Pass(
-        frame.where(F.col("clone_details").isNotNull()),
-        {"clones.tables": Groups()},
-        carrier=("table_id",),
-    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from posture import fixed_values as fixed
 from posture.functions.text import has_any, lowered, named
-from posture.operators.evidence import Distinct, Pass, Rows, TopK, Total
+from posture.operators.evidence import Distinct, Pass, Rows, Top, Total
 from posture.operators.run import Run
 from posture.plans.passes import evidence
 
@@ -70,6 +70,7 @@ def usage(run: Run) -> Pass:
             "usage.gpu": amount_where(_sku().contains("gpu")),
             "usage.tagged": Rows(recent & (F.size(tag_keys) > 0)),
             "usage.chargeback": Rows(recent & chargeback),
+            "usage.tag_keys": Top("tag_key", 8, recent),
             "usage.egress": Rows(
                 recent & (has_any(_sku(), fixed.EGRESS_SKUS) | product.contains("sharing"))
             ),
@@ -79,12 +80,6 @@ def usage(run: Run) -> Pass:
         },
         carrier=("usage_date", "billing_origin_product"),
         spread={"job": F.col("usage_metadata.job_id")},
+        # Records carry one of few sets of tag keys, which are taken apart after grouping.
+        keys={"tag_key": tag_keys},
     )
-
-
-@evidence("tag_keys", USAGE)
-def tag_keys(run: Run) -> TopK:
-    frame = run.recent(USAGE, "usage_date").select(
-        F.explode(F.map_keys(F.col("custom_tags"))).alias("tag_key")
-    )
-    return TopK(frame, F.col("tag_key"), 8)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from posture import fixed_values as fixed
 from posture.functions.text import any_like, has_any, lowered, non_blank
-from posture.operators.evidence import Distinct, Groups, GroupTest, Pass, Rows, TopK
+from posture.operators.evidence import Distinct, Groups, GroupTest, Pass, Rows, Top
 from posture.operators.run import Run
 from posture.operators.scope import IN_SCOPE
 from posture.plans.passes import evidence
@@ -51,38 +51,24 @@ def tables(run: Run) -> Pass:
         "quarantine": Rows(inside & any_like(F.col("table_name"), fixed.QUARANTINE_NAMES)),
         "duplicates": Rows(base & name.rlike(fixed.DUPLICATE_NAME)),
         "schemas": Distinct("table_schema", inside),
+        "formats": Top("format", 5, base),
+        "closed_formats": Top("format", 5, base & ~_format().isin(*fixed.OPEN_FORMATS)),
+        "unsafe_formats": Top(
+            "format", 5, base & ~_format().isin(*fixed.TRANSACTIONAL_FORMATS)
+        ),
     }
     for layer, (words, prefix) in fixed.LAYERS.items():
         metrics[layer] = Distinct(
             "table_schema", inside & (has_any(schema, words) | name.rlike(prefix))
         )
     return Pass(
-        frame, {f"tables.{n}": m for n, m in metrics.items()}, carrier=("table_schema",)
+        frame,
+        {f"tables.{n}": m for n, m in metrics.items()},
+        carrier=("table_schema",),
+        keys={"format": F.coalesce(F.col("data_source_format"), F.lit("UNKNOWN"))},
     )
 
 
-def _formats(run: Run, *conditions) -> TopK:
-    frame = run.scope.restrict(run.sources.frame(TABLES), "table_catalog", "table_schema")
-    for condition in (_base(), *conditions):
-        frame = frame.where(condition)
-    return TopK(frame, F.coalesce(F.col("data_source_format"), F.lit("UNKNOWN")), 5)
-
-
-@evidence("formats", TABLES, scoped=True)
-def formats(run: Run) -> TopK:
-    return _formats(run)
-
-
-@evidence("closed_formats", TABLES, scoped=True)
-def closed_formats(run: Run) -> TopK:
-    return _formats(run, ~_format().isin(*fixed.OPEN_FORMATS))
-
-
-@evidence("unsafe_formats", TABLES, scoped=True)
-def unsafe_formats(run: Run) -> TopK:
-    return _formats(run, ~_format().isin(*fixed.TRANSACTIONAL_FORMATS))
-
-
 @evidence("columns", "information_schema.columns", scoped=True)
 def columns(run: Run) -> Pass:
     frame = run.scope.restrict(
@@ -116,9 +102,11 @@ def views(run: Run) -> Pass:
     )
 
 
-@evidence("tags", "information_schema.table_tags", scoped=True)
+@evidence(
+    "tags", "information_schema.table_tags", scoped=True, unscoped=("tags.features",)
+)
 def tags(run: Run) -> Pass:
-    frame = run.scope.mark(
+    frame = run.marked(
         run.sources.frame("information_schema.table_tags"), "catalog_name", "schema_name"
     )
     inside = F.col(IN_SCOPE)
@@ -131,21 +119,13 @@ def tags(run: Run) -> Pass:
             "tags.tagged": Groups(inside),
             "tags.keys": Distinct("tag", inside),
             "tags.certified": Groups(inside & product),
+            "tags.features": Groups(F.lower(F.col("tag_name")).contains("feature")),
         },
         carrier=TAG_TRIPLE,
         spread={"tag": F.col("tag_name")},
     )
 
 
-@evidence("feature_tags", "information_schema.table_tags")
-def feature_tags(run: Run) -> Pass:
-    return Pass(
-        run.sources.frame("information_schema.table_tags"),
-        {"feature_tags.tables": Groups(F.lower(F.col("tag_name")).contains("feature"))},
-        carrier=TAG_TRIPLE,
-    )
-
-
 @evidence("constraints", "information_schema.table_constraints", scoped=True)
 def constraints(run: Run) -> Pass:
     frame = run.scope.restrict(
@@ -153,17 +133,12 @@ def constraints(run: Run) -> Pass:
         "table_catalog",
         "table_schema",
     )
-    return Pass(frame, {"constraints.tables": Groups()}, carrier=TRIPLE)
-
-
-@evidence("constraint_kinds", "information_schema.table_constraints", scoped=True)
-def constraint_kinds(run: Run) -> TopK:
-    frame = run.scope.restrict(
-        run.sources.frame("information_schema.table_constraints"),
-        "table_catalog",
-        "table_schema",
+    return Pass(
+        frame,
+        {"constraints.tables": Groups(), "constraints.kinds": Top("kind", None)},
+        carrier=TRIPLE,
+        keys={"kind": F.col("constraint_type")},
     )
-    return TopK(frame, F.col("constraint_type"), None)
 
 
 @evidence("grants", "information_schema.table_privileges", scoped=True)

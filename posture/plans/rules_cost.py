@@ -130,7 +130,7 @@ def serverless_workloads(e: Evidence) -> Verdict:
 
 @question("CO-01-07", CLUSTERS)
 def instance_types(e: Evidence) -> Verdict:
-    mix = e.mix("node_types.mix")
+    mix = e.mix("clusters.node_types")
     clusters = e.n("clusters.total")
     verdict = e.ratio(
         e.n("clusters.current_node"),
@@ -266,7 +266,7 @@ def cost_monitoring(e: Evidence) -> Verdict:
 
 @question("CO-03-02", USAGE)
 def tagged_usage(e: Evidence) -> Verdict:
-    keys = e.mix("tag_keys.mix")
+    keys = e.mix("usage.tag_keys")
     return e.ratio(
         e.n("usage.tagged"),
         e.n("usage.rows"),

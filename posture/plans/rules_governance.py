@@ -176,7 +176,7 @@ manual(
 def quality_controls(e: Evidence) -> Verdict:
     total = e.n("tables.base")
     monitored, constrained = e.n("monitored.tables"), e.n("constraints.tables")
-    pipelines = e.n("pipeline_versions.total")
+    pipelines = e.n("pipelines.versions")
     silent = (monitored == 0) & (constrained == 0) & (pipelines == 0)
     verdict = e.ratio(
         F.when(total == 0, F.lit(0)).otherwise(F.least(monitored + constrained, total)),
@@ -208,7 +208,7 @@ def quality_controls(e: Evidence) -> Verdict:
 
 @question("DG-03-03", TABLES, scoped=True)
 def standard_format(e: Evidence) -> Verdict:
-    mix = e.mix("formats.mix")
+    mix = e.mix("tables.formats")
     return e.ratio(
         e.n("tables.transactional"),
         e.n("tables.base"),

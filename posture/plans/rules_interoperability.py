@@ -48,7 +48,7 @@ def integration_patterns(e: Evidence) -> Verdict:
 
 @question("IU-01-02")
 def ingestion_connectors(e: Evidence) -> Verdict:
-    files, managed = e.n("queries.file_ingestion"), e.n("pipeline_versions.ingestion")
+    files, managed = e.n("queries.file_ingestion"), e.n("pipelines.ingestion_versions")
     federated, streams = e.n("connections.rows"), e.n("streams.rows")
     signals = (files, managed, federated, streams)
     return Verdict(
@@ -70,10 +70,10 @@ def ingestion_connectors(e: Evidence) -> Verdict:
 
 @question("IU-01-03", "query.history")
 def partner_tools(e: Evidence) -> Verdict:
-    mix = e.mix("clients.mix")
+    mix = e.mix("queries.clients")
     listed = F.filter(mix, lambda p: has_any(F.lower(p["key"]), fixed.PARTNER_TOOLS))
-    tools, every = e.n("client_totals.partners"), e.n("client_totals.queries")
-    by_partners = e.n("client_totals.partner_queries")
+    tools, every = e.n("queries.partners"), e.n("queries.client_queries")
+    by_partners = e.n("queries.partner_queries")
     return Verdict(
         F.when(every == 0, OPEN).when(tools == 0, IN_PROGRESS).otherwise(COMPLETED),
         F.when(
@@ -100,7 +100,7 @@ def partner_tools(e: Evidence) -> Verdict:
 
 @question("IU-01-04")
 def simple_workloads(e: Evidence) -> Verdict:
-    pipelines, jobs = e.n("pipeline_versions.total"), e.n("jobs.total")
+    pipelines, jobs = e.n("pipelines.versions"), e.n("jobs.total")
     large = e.n("tasks.large_jobs")
     total = pipelines + jobs
     return e.ratio(
@@ -117,7 +117,7 @@ def simple_workloads(e: Evidence) -> Verdict:
 
 @question("IU-02-01", TABLES, scoped=True)
 def open_formats(e: Evidence) -> Verdict:
-    closed, open_tables = e.mix("closed_formats.mix"), e.n("tables.open_table_format")
+    closed, open_tables = e.mix("tables.closed_formats"), e.n("tables.open_table_format")
     return e.ratio(
         e.n("tables.open_format"),
         e.n("tables.base"),

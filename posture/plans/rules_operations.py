@@ -220,7 +220,7 @@ def job_triggers(e: Evidence) -> Verdict:
 @question("OE-02-04", scoped=True)
 def event_driven_ingestion(e: Evidence) -> Verdict:
     arrivals, statements = e.n("jobs.file_arrival"), e.n("queries.file_ingestion")
-    rescued, managed = e.n("columns.rescued"), e.n("pipeline_versions.ingestion")
+    rescued, managed = e.n("columns.rescued"), e.n("pipelines.ingestion_versions")
     any_signal = signal_count(arrivals, statements, rescued, managed) > 0
     return Verdict(
         F.when(~any_signal, OPEN)
@@ -242,7 +242,7 @@ def event_driven_ingestion(e: Evidence) -> Verdict:
 
 @question("OE-02-05")
 def pipeline_frameworks(e: Evidence) -> Verdict:
-    pipelines, jobs = e.n("pipeline_versions.total"), e.n("jobs.total")
+    pipelines, jobs = e.n("pipelines.versions"), e.n("jobs.total")
     return e.ratio(
         pipelines,
         pipelines + jobs,

@@ -405,7 +405,7 @@ def bottlenecks(e: Evidence) -> Verdict:
 
 @question("PE-04-01", HISTORY)
 def query_monitoring(e: Evidence) -> Verdict:
-    days, watchers = e.n("query_days.total"), e.n("queries.history")
+    days, watchers = e.n("queries.days"), e.n("queries.history")
     return Verdict(
         F.when(days == 0, OPEN).when(watchers == 0, IN_PROGRESS).otherwise(COMPLETED),
         sentence(
@@ -418,7 +418,7 @@ def query_monitoring(e: Evidence) -> Verdict:
 
 @question("PE-04-02")
 def stream_monitoring(e: Evidence) -> Verdict:
-    pipelines, updates = e.n("pipeline_versions.continuous"), e.n("pipeline_updates.rows")
+    pipelines, updates = e.n("pipelines.continuous_versions"), e.n("pipeline_updates.rows")
     return Verdict(
         F.when((pipelines == 0) & (updates == 0), OPEN)
         .when(updates > 0, COMPLETED)

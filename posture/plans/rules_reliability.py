@@ -28,7 +28,7 @@ JOBS = "lakeflow.jobs"
 
 @question("R-01-01", TABLES, scoped=True)
 def transactional_formats(e: Evidence) -> Verdict:
-    other = e.mix("unsafe_formats.mix")
+    other = e.mix("tables.unsafe_formats")
     return e.ratio(
         e.n("tables.transactional"),
         e.n("tables.base"),
@@ -163,7 +163,7 @@ def managed_schemas(e: Evidence) -> Verdict:
 
 @question("R-02-04", TABLES, "information_schema.table_constraints", scoped=True)
 def declared_constraints(e: Evidence) -> Verdict:
-    kinds, pipelines = e.mix("constraint_kinds.mix"), e.n("pipeline_versions.total")
+    kinds, pipelines = e.mix("constraints.kinds"), e.n("pipelines.versions")
     return e.ratio(
         e.n("constraints.tables"),
         e.n("tables.base"),
@@ -182,7 +182,7 @@ def declared_constraints(e: Evidence) -> Verdict:
 
 @question("R-02-05", "mlflow.runs_latest", caveat=True)
 def data_centric_learning(e: Evidence) -> Verdict:
-    runs, features = e.n("runs.total"), e.n("feature_tags.tables")
+    runs, features = e.n("runs.total"), e.n("tags.features")
     emitters = e.n("lineage.emitters")
     return Verdict(
         F.when(runs == 0, OPEN).when(features > 0, COMPLETED).otherwise(IN_PROGRESS),
@@ -223,7 +223,7 @@ def warehouse_autoscaling(e: Evidence) -> Verdict:
 
 @question("R-04-01", TABLES, scoped=True)
 def streaming_recovery(e: Evidence) -> Verdict:
-    pipelines, tables = e.n("pipeline_versions.continuous"), e.n("tables.streaming")
+    pipelines, tables = e.n("pipelines.continuous_versions"), e.n("tables.streaming")
     statements = e.n("queries.streaming")
     return Verdict(
         F.when(pipelines + tables + statements == 0, OPEN)
@@ -284,7 +284,7 @@ def recoverable_orchestration(e: Evidence) -> Verdict:
 
 @question("R-04-04")
 def disaster_recovery(e: Evidence) -> Verdict:
-    replicas, clones = e.n("replication.rows"), e.n("clones.tables")
+    replicas, clones = e.n("replication.rows"), e.n("storage.clones")
     shares, workspaces = e.n("shares.rows"), e.n("workspaces.total")
     return Verdict(
         F.when((replicas == 0) & (clones == 0), OPEN)

@@ -11,7 +11,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posture.operators.evidence import EVIDENCE, TopK, measure, top_k, top_k_evidence
+from posture.operators import evidence as measuring
+from posture.operators.evidence import EVIDENCE, columns_read, measure
 from posture.operators.run import Run
 from posture.plans import (  # noqa: F401 - registers passes and rules
     activity,
@@ -27,11 +28,13 @@ from posture.plans import (  # noqa: F401 - registers passes and rules
     rules_reliability,
 )
 from posture.plans.bank import question_bank, questions
-from posture.plans.passes import PASSES
+from posture.plans.passes import PASSES, pass_of
 from posture.plans.rules import RULES, RuleSpec, Verdict, decide, ordered
 
 log = logging.getLogger(__name__)
 Failures = dict[str, str]
+#: Jobs in which a pass with a failing expression is measured again.
+RETRIES = 16
 
 
 def question_ids() -> list[str]:
@@ -60,10 +63,7 @@ def _by_pass(metrics: Iterable[str]) -> dict[str, list[str]]:
 
 def _plan_pass(run: Run, name: str, metrics: list[str]) -> tuple[DataFrame | None, Failures]:
     try:
-        built = PASSES[name].build(run)
-        if isinstance(built, TopK):
-            return top_k_evidence(metrics[0], built), {}
-        return measure(built, metrics)
+        return measure(PASSES[name].build(run), metrics)
     except Exception as problem:  # a pass that cannot be planned fails alone
         return None, dict.fromkeys(metrics, _message(problem))
 
@@ -93,6 +93,9 @@ class Measurement:
     def __init__(self, run: Run, metrics: Iterable[str]):
         self._run = run
         self._failed: Failures = {}
+        self._retries = RETRIES
+        #: Jobs that failures cost beside the one of each pass.
+        self.further_jobs = 0
         self._jobs: dict[str, tuple[list[str], Future]] = {}
         self._pool = ThreadPoolExecutor(run.config.concurrent_passes)
         inherit = inheritable_thread_target(run.spark)
@@ -112,29 +115,70 @@ class Measurement:
                     rows += job.result()
                 except Exception as problem:  # whatever ends a job, as a corrupt or missing file
                     log.warning("pass %s failed: %s", name, _message(problem))
-                    rows += self._halves(name, names, problem)
+                    left = [n for n in names if n not in self._failed]
+                    rows += self._isolate(name, left, problem)
         finally:
             self._pool.shutdown(cancel_futures=True)
         return self._run.spark.createDataFrame(rows, EVIDENCE), self._failed
 
+    def _isolate(self, name: str, metrics: list[str], problem: Exception) -> list:
+        """What a failed pass still has, at the price of a few further jobs.
+
+        One job that only counts tells a source that cannot be read at all; then every
+        column is read alone, side by side, which costs one more scan in all. Metrics of
+        sound columns are measured again in one job. If all columns are sound, an
+        expression fails: metrics are measured again in halves, ``RETRIES`` jobs at most.
+        """
+        plan = PASSES[name].build(self._run)
+        if self._fails(plan.frame.agg(F.count(F.lit(1)))):
+            self._failed.update(dict.fromkeys(metrics, _message(problem)))
+            return []
+        read = columns_read(plan, metrics)
+        columns = sorted(frozenset().union(*read.values()))
+        inherit = inheritable_thread_target(self._run.spark)
+        with ThreadPoolExecutor(self._run.config.concurrent_passes) as pool:
+            probes = {
+                c: pool.submit(
+                    inherit(self._fails),
+                    plan.frame.agg(F.max(F.length(F.col(f"`{c}`").cast("string")))),
+                )
+                for c in columns
+            }
+            bad = {c: why for c, probe in probes.items() if (why := probe.result())}
+        sound = [m for m in metrics if not read[m] & bad.keys()]
+        for metric in set(metrics) - set(sound):
+            self._failed[metric] = bad[min(read[metric] & bad.keys())]
+        if not sound:
+            return []
+        self._retries = RETRIES
+        return self._again(name, sound) if bad else self._halves(name, sound, problem)
+
+    def _fails(self, probe: DataFrame) -> str | None:
+        self.further_jobs += 1
+        try:
+            probe.collect()
+        except Exception as problem:
+            return _message(problem)
+        return None
+
+    def _again(self, name: str, metrics: list[str]) -> list:
+        frame, problems = _plan_pass(self._run, name, metrics)
+        self._failed.update(problems)
+        if frame is None:
+            return []
+        self.further_jobs += 1
+        try:
+            return frame.collect()
+        except Exception as problem:
+            return self._halves(name, [m for m in metrics if m not in problems], problem)
+
     def _halves(self, name: str, metrics: list[str], problem: Exception) -> list:
-        """Measure again in halves, so that a bad column costs only what reads it."""
-        if len(metrics) < 2:
+        if len(metrics) < 2 or self._retries < 2:
             self._failed.update(dict.fromkeys(metrics, _message(problem)))
             return []
-        rows = []
+        self._retries -= 2
         middle = len(metrics) // 2
-        for half in (metrics[:middle], metrics[middle:]):
-            frame, problems = _plan_pass(self._run, name, half)
-            self._failed.update(problems)
-            if frame is None:
-                continue
-            left = [m for m in half if m not in problems]
-            try:
-                rows += frame.collect()
-            except Exception as again:
-                rows += self._halves(name, left, again)
-        return rows
+        return self._again(name, metrics[:middle]) + self._again(name, metrics[middle:])
 
 
 def _message(problem: Exception) -> str:
@@ -277,6 +321,18 @@ def answer(run: Run, question_id: str) -> DataFrame:
     )
 
 
+MIXES = {
+    "formats": "tables.formats",
+    "closed_formats": "tables.closed_formats",
+    "unsafe_formats": "tables.unsafe_formats",
+    "constraint_kinds": "constraints.kinds",
+    "clients": "queries.clients",
+    "tag_keys": "usage.tag_keys",
+    "node_types": "clusters.node_types",
+}
+
+
 def mix_rows(run: Run, name: str) -> DataFrame:
     """A top-k measurement as ``(key, n)`` rows."""
-    return top_k(PASSES[name].build(run))
+    metric = MIXES[name]
+    return measuring.mix_rows(pass_of(metric).build(run), metric)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from datetime import UTC, datetime
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from posture.config import AssessmentConfig
 from posture.operators.evidence import (
+    Days,
     Distinct,
     Groups,
     GroupTest,
@@ -14,12 +16,14 @@ from posture.operators.evidence import (
     Mean,
     Pass,
     Rows,
+    Top,
     TopK,
     Total,
     measure,
+    mix_rows,
     top_k,
 )
-from posture.operators.latest import latest
+from posture.operators.latest import latest, newest_and_counts
 from posture.operators.scope import resolve_scope, scope_frame
 from posture.operators.windows import in_window
 
@@ -98,6 +102,98 @@ def test_measure_matches_brute_force(spark, seed, carrier):
     }
 
 
+@pytest.mark.parametrize("carrier", [(), ("key",), ("key", "kind")])
+@pytest.mark.parametrize("spread", [False, True])
+def test_counts_and_mixes_of_one_scan(spark, carrier, spread):
+    spread = {"dash": F.col("dash")} if spread else {}
+    rng = random.Random(3)
+    rows = [
+        (*r, rng.choice([["p"], ["q", "p"], ["p", "q"], [], None]), rng.choice("ABCDEFG"), i % 200)
+        for i, r in enumerate(sample(3))
+    ]
+    schema = "key string, kind string, v int, dash string, tags array<string>, tool string, d int"
+    frame = spark.createDataFrame(rows, schema)
+    big = F.col("v") > 1
+    first = datetime(2024, 1, 1, tzinfo=UTC).date()
+    metrics = {
+        "m.rows": Rows(),
+        "m.mean": Mean(F.col("v")),
+        "m.high": Highest(F.col("v")),
+        "m.tools": Top("tool", 3),
+        "m.big_tools": Top("tool", 2, big),
+        "m.kinds": Top("kind", None),
+        "m.tags": Top("tag", 5, big),
+        "m.tool_values": Distinct("tool", big),
+        "m.kind_values": Distinct("kind"),
+        "m.days": Days(F.date_add(F.lit(first), F.col("d")), first, 210),
+    }
+    if carrier:
+        metrics |= {"m.groups": Groups(big), "m.large": GroupTest(big, lambda n: n > 100)}
+    if spread:
+        metrics["m.dashes"] = Distinct("dash", big)
+    plan = Pass(
+        frame, metrics, carrier=carrier, spread=spread,
+        keys={"tool": F.col("tool"), "kind": F.col("kind"), "tag": F.col("tags")},
+    )
+    found, failed = measure(plan, metrics)
+    assert failed == {}
+    got = {
+        r["metric"]: r["value"] if r["mix"] is None else [tuple(p) for p in r["mix"]]
+        for r in found.collect()
+    }
+    bigs = [r for r in rows if r[2] is not None and r[2] > 1]
+    present = [r[2] for r in rows if r[2] is not None]
+
+    def most(values, k):
+        return sorted(Counter(values).items(), key=lambda p: (-p[1], p[0]))[:k]
+
+    expected = {
+        "m.rows": len(rows),
+        "m.mean": pytest.approx(sum(present) / len(present)),
+        "m.high": 9,
+        "m.tools": most([r[5] for r in rows], 3),
+        "m.big_tools": most([r[5] for r in bigs], 2),
+        "m.kinds": most([r[1] or "unknown" for r in rows], 50),
+        "m.tags": most([t for r in bigs for t in r[4] or []], 5),
+        "m.tool_values": len({r[5] for r in bigs}),
+        "m.kind_values": 3,
+        "m.days": 200,
+    }
+    if carrier:
+        sizes = Counter(r[: len(carrier)] for r in bigs)
+        expected["m.groups"] = len([g for g in sizes if None not in g])
+        expected["m.large"] = len([g for g, n in sizes.items() if n > 100])
+    if spread:
+        expected["m.dashes"] = len({r[3] for r in bigs} - {None})
+    assert got == expected
+    text = found._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("Scan ExistingRDD") == 1 and "WindowGroupLimit" in text
+    raw = [tuple(r) for r in mix_rows(plan, "m.kinds").collect()]
+    assert sorted(raw, key=repr) == sorted(Counter(r[1] for r in rows).items(), key=repr)
+
+
+def test_newest_and_counts_pick_as_latest_does(spark):
+    rng = random.Random(9)
+    rows = [
+        (rng.choice(["a", "b", "c", None, "hot", "hot"]), rng.choice([1, 2, 3, None]),
+         rng.choice([None, None, 5]), i, {"k": str(i)})
+        for i in range(400)
+    ]
+    schema = "id string, at int, gone int, name int, tags map<string,string>"
+    frame = spark.createDataFrame(rows, schema)
+    live = F.col("gone").isNull()
+    for rank_first in (False, True):
+        expected = latest(frame, "id", "at", live, rank_first).collect()
+        got = newest_and_counts(
+            frame, "id", "at", live, {"n": F.lit(True), "dead": ~live}, rank_first
+        ).collect()
+        assert sorted(r["name"] for r in got if r["is_newest"]) == sorted(r["name"] for r in expected)
+        assert sum(r["n"] for r in got) == 400
+        assert sum(r["dead"] for r in got) == len([r for r in rows if r[2]])
+    nothing = newest_and_counts(frame, "id", "at", live, {}, among=F.lit(False)).collect()
+    assert len(nothing) == 5 and not any(r["is_newest"] for r in nothing)
+
+
 def test_measure_without_rows(spark):
     frame = spark.createDataFrame([], "key string, v int")
     plan = Pass(
@@ -212,7 +308,7 @@ def test_scope_falls_back_and_may_be_empty(spark):
     names = {r["catalog_name"] for r in scope_frame(frame, config).collect()}
     assert names == {r["catalog_name"] for r in scope.frame.collect()} and len(names) == 4
     plan = scope_frame(frame, config)._jdf.queryExecution().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Window" not in plan
     nothing = resolve_scope(frame.limit(0), config)
     assert nothing.size == 0
     assert nothing.restrict(frame, "catalog_name").count() == 0

@@ -1,20 +1,30 @@
 import json
+import random
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from posture.assess import assess, questions_of
 from posture.config import AssessmentConfig
+from posture.operators.evidence import MIX, Mean, columns_read, measure
 from posture.operators.run import Run
 from posture.plans.bank import PILLARS, questions
 from posture.plans.passes import PASSES
 from posture.plans.reports import coverage_gaps, unmeasured
-from posture.plans.rules import RULES
-from posture.plans.scorecard import answer, check_coverage, question_ids, scorecard
+from posture.plans.rules import RULES, decide, depends
+from posture.plans.scorecard import (
+    RETRIES,
+    Measurement,
+    answer,
+    check_coverage,
+    question_ids,
+    scorecard,
+)
 from posture.sources.registry import Sources
 from posture.sources.schemas import SCHEMAS
-from posture.sources.star_telemetry import AS_OF, FLAT, star_sources
+from posture.sources.star_telemetry import AS_OF, FLAT, star_sources, star_table
 from conftest import SF_DIR
 
 MANUAL_IDS = ["DG-01-01", "DG-03-01", "OE-01-01", "OE-01-09", "OE-03-03", "PE-03-01"]
@@ -146,7 +156,7 @@ def test_missing_column_fails_only_its_questions(spark):
     rows = graded(Sources(spark, kept))
     for question_id in ("PE-02-15", "PE-03-03"):
         assert rows[question_id]["status"] == "open"
-        assert "could not complete" in rows[question_id]["reason"]
+        assert "nothing is claimed" in rows[question_id]["reason"]
         assert json.loads(rows[question_id]["metrics_json"])["error"] is True
     assert rows["PE-02-08"]["status"] == "completed"
 
@@ -177,7 +187,7 @@ def test_failing_scan_is_isolated(spark):
     )
     got = {r["question_id"]: r for r in rows.collect()}
     assert got["PE-02-07"]["status"] == "open"
-    assert "could not complete" in got["PE-02-07"]["reason"]
+    assert "nothing is claimed" in got["PE-02-07"]["reason"]
     assert got["PE-02-08"]["status"] == "completed"
 
 
@@ -217,6 +227,113 @@ def test_a_bad_column_costs_only_its_readers(spark, card):
         assert rows[question_id]["metrics_json"] == card[question_id]["metrics_json"]
 
 
+def measured(sources, ids):
+    run = Run(sources, AssessmentConfig(as_of=AS_OF))
+    used = frozenset().union(*(decide(RULES[q], run, {})[1] for q in ids))
+    work = Measurement(run, used)
+    long, failed = work.result()
+    return long, failed, used, work.further_jobs
+
+
+def test_a_damaged_file_costs_one_more_job(spark, tmp_path):
+    full = star_sources(spark, SF_DIR)
+    path = tmp_path / "history"
+    full.frame("query.history").limit(500).coalesce(1).write.parquet(str(path))
+    (data,) = path.glob("part-*.parquet")
+    history = spark.read.parquet(str(path))
+    data.write_bytes(data.read_bytes()[: data.stat().st_size // 2])
+    (path / f".{data.name}.crc").unlink()
+    sources = Sources(spark, {"query.history": history}, probe_rows=False)
+    long, failed, used, jobs = measured(sources, ["PE-03-03", "CO-02-01", "IU-01-03"])
+    assert failed.keys() == {m for m in used if m.startswith("queries.")}
+    assert jobs == 1
+
+
+def test_a_bad_column_is_found_by_reading_columns_alone(spark):
+    full = star_sources(spark, SF_DIR)
+    bad = full.frame("query.history").limit(500).withColumn(
+        "read_bytes", F.raise_error(F.lit("bad block")).cast("bigint")
+    )
+    sources = Sources(spark, {"query.history": bad}, probe_rows=False)
+    ids = ["PE-03-03", "CO-02-01", "IU-01-03", "PE-02-08"]
+    long, failed, used, jobs = measured(sources, ids)
+    plan = PASSES["queries"].build(Run(sources, AssessmentConfig(as_of=AS_OF)))
+    readers = {m for m, read in columns_read(plan, used).items() if "read_bytes" in read}
+    assert readers and failed.keys() == readers
+    assert {r["metric"] for r in long.collect()} == used - readers
+    assert jobs <= len(plan.frame.columns) + 2
+
+
+def test_a_failing_expression_is_given_up_after_some_jobs(spark, monkeypatch):
+    full = star_sources(spark, SF_DIR)
+    nodes = PASSES["nodes"]
+
+    def build(run):
+        plan = nodes.build(run)
+        metrics = dict(plan.metrics)
+        metrics["nodes.swap"] = Mean(F.raise_error(F.lit("no number")).cast("double"))
+        return replace(plan, metrics=metrics)
+
+    monkeypatch.setitem(PASSES, "nodes", replace(nodes, build=build))
+    sources = Sources(
+        spark, {"compute.node_timeline": full.frame("compute.node_timeline")}, probe_rows=False
+    )
+    run = Run(sources, AssessmentConfig(as_of=AS_OF))
+    work = Measurement(run, nodes.build(run).metrics)
+    long, failed = work.result()
+    assert list(failed) == ["nodes.swap"]
+    assert len(long.collect()) == len(nodes.build(run).metrics) - 1
+    assert work.further_jobs <= 2 + RETRIES + len(SCHEMAS["compute.node_timeline"].split(","))
+
+
+def test_sources_are_scanned_once():
+    assert max(Counter(p.source for p in PASSES.values()).values()) == 1
+
+
+def test_one_scan_and_no_lone_window_in_each_plan(spark):
+    """Of every source the plan reads its table once; the scope is a kept frame."""
+    run = Run(star_sources(spark, SF_DIR), AssessmentConfig(as_of=AS_OF))
+    for name in ("queries", "tables", "usage", "clusters", "pipelines", "storage"):
+        plan = PASSES[name].build(run)
+        found, failed = measure(plan, plan.metrics)
+        assert failed == {}
+        text = found._jdf.queryExecution().sparkPlan().toString()
+        assert text.count(f"{star_table(PASSES[name].source)}.parquet") == 1, name
+        assert "windowspecdefinition(row_number" not in text
+
+
+def test_status_dependencies_of_all_rules(star_run):
+    """A metric that changes any status, one changed at a time, is known to decide it."""
+    rng = random.Random(5)
+    specs = [RULES[q] for q in question_ids()]
+    used = {s.question_id: decide(s, star_run, {})[1] for s in specs}
+    numbers = sorted({m for found in used.values() for m in found})
+    base = [{m: float(rng.choice([0, 1, 3, 40])) for m in numbers} for _ in range(3)]
+    rows = [("", i, values, {}) for i, values in enumerate(base)]
+    for m in numbers:
+        rows += [
+            (m, i, values | {m: v}, {}) for i, values in enumerate(base) for v in (0.0, 2.0, 99.0)
+        ]
+    frame = star_run.spark.createDataFrame(
+        rows, f"metric string, base int, measured map<string,double>, mixes map<string,{MIX}>"
+    )
+    statuses = [decide(s, star_run, {})[0].status.alias(s.question_id) for s in specs]
+    found = frame.select("metric", "base", *statuses).collect()
+    plain = {r["base"]: r for r in found if r["metric"] == ""}
+    changing = {
+        (r["metric"], q)
+        for r in found
+        for q in used
+        if r["metric"] and r[q] != plain[r["base"]][q]
+    }
+    assert changing
+    for metric, question_id in changing:
+        assert depends(RULES[question_id], star_run, metric), (metric, question_id)
+    # A longer name that begins like another does not make that one decide.
+    assert depends(RULES["PE-02-01"], star_run, "queries.finished_pruned")
+    assert not depends(RULES["PE-02-01"], star_run, "queries.finished")
+
+
 def test_side_signals_count_nothing_when_they_fail(spark):
     full = star_sources(spark, SF_DIR)
     kept = {n: full.frame(n) for n in FLAT}
