@@ -1543,11 +1543,15 @@ add(
 HIDDEN = {"CO-04-01": ("pipelines",)}
 
 
-def question_sql(question_id: str) -> str:
+def shown(question_id: str) -> str:
     body = BODIES[question_id]
     if question_id in HIDDEN:
         body = f"SELECT * EXCLUDE ({', '.join(HIDDEN[question_id])}) FROM ({body})"
-    return with_views(body)
+    return body
+
+
+def question_sql(question_id: str) -> str:
+    return with_views(shown(question_id))
 
 
 MIXES = {

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from datetime import date, timedelta
 
-from oracle.questions import BODIES, question_sql
-from oracle.views import VIEWS, with_views
+from oracle.questions import BODIES, question_sql, shown
+from oracle.views import FIVE, VIEWS, with_views
+from posture.sources.star_telemetry import FLAT, flat_sql
 
 MANUAL_IDS = ("DG-01-01", "DG-03-01", "OE-01-01", "OE-01-09", "OE-03-03", "PE-03-01")
 PILLAR = (
@@ -78,6 +79,54 @@ def report_sql(name: str) -> str:
     return with_views(REPORTS[name])
 
 
+# A set of sources in which the audit log is absent, the pipelines have no rows, and the share
+# of user time in the node samples cannot be read.
+NEED_AUDIT = ("DG-02-02", "DG-02-03", "R-02-03")
+NEED_CPU = ("CO-01-08", "PE-02-07")
+_LOST = ", ".join(f"'{q}'" for q in (*NEED_AUDIT, *NEED_CPU))
+DEGRADED = {
+    "x_audit": f"SELECT * FROM ({VIEWS['x_audit']}) WHERE FALSE",
+    "x_pipelines": f"SELECT * FROM ({VIEWS['x_pipelines']}) WHERE FALSE",
+    "x_card": (
+        "SELECT question_id, pillar, CASE WHEN question_id IN"
+        f" ({_LOST}) THEN 'open' ELSE status END AS status FROM ({VIEWS['x_card']})"
+    ),
+}
+
+
+def degraded_sql(name: str) -> str:
+    return with_views(REPORTS[name], DEGRADED)
+
+
+def census_sql() -> str:
+    """Rows of every source of that set."""
+    absent, empty = "access.audit", "lakeflow.pipelines"
+    return " UNION ALL ".join(
+        f"SELECT '{source}' AS source, FALSE AS readable, CAST(NULL AS BIGINT) AS n"
+        if source == absent
+        else f"SELECT '{source}' AS source, TRUE AS readable, count(*) AS n FROM"
+        f" ({flat_sql(source, FIVE)}) WHERE {'FALSE' if source == empty else 'TRUE'}"
+        for source in FLAT
+    )
+
+
+# Numbers of a question's metrics, and the share that follows from two of them.
+_FIELDS = " UNION ALL ".join(
+    f"SELECT question_id, status, to_json(m) AS j FROM ({shown(q)}) AS m" for q in BODIES
+)
+_NUMBER = "TRY_CAST(json_extract_string(j, '$.' || field) AS DOUBLE)"
+FIELDS_SQL = with_views(
+    f"SELECT question_id, field, CASE json_extract_string(j, '$.' || field) WHEN 'true' THEN 1.0"
+    f" WHEN 'false' THEN 0.0 ELSE {_NUMBER} END AS value FROM (SELECT question_id, j,"
+    f" unnest(json_keys(j)) AS field FROM ({_FIELDS})) WHERE field NOT IN ('question_id',"
+    " 'status')"
+    " UNION ALL SELECT question_id, 'pct' AS field, CASE WHEN status <> 'open' THEN"
+    " round(CAST(j->>'numerator' AS DOUBLE) * 100 / CAST(j->>'denominator' AS DOUBLE), 2) END"
+    f" AS value FROM ({_FIELDS}) WHERE j->>'numerator' IS NOT NULL AND j->>'denominator'"
+    " IS NOT NULL"
+)
+
+
 def earlier(sql: str, days: int) -> str:
     """The same statement ``days`` before AS_OF: all of its dates move."""
 

@@ -124,14 +124,15 @@ VIEWS["x_latest_storage"] = _latest(
 )
 
 
-def with_views(body: str) -> str:
-    """``body`` with the views it uses in front."""
+def with_views(body: str, instead: dict[str, str] | None = None) -> str:
+    """``body`` with the views it uses in front; ``instead`` replaces some of them."""
+    views = VIEWS | (instead or {})
     needed: set[str] = set()
     frontier = [body]
     while frontier:
         for name in set(re.findall(r"\bx_[a-z_]+\b", frontier.pop())) - needed:
-            if name in VIEWS:
+            if name in views:
                 needed.add(name)
-                frontier.append(VIEWS[name])
-    ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in needed)
+                frontier.append(views[name])
+    ctes = ", ".join(f"{n} AS ({views[n]})" for n in views if n in needed)
     return f"WITH {ctes} {body}" if ctes else body

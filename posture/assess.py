@@ -40,7 +40,9 @@ def assess(
     ids = questions_of(pillars)
     check_coverage(ids)
     run = Run(sources, config)
-    return _store(run, scorecard(run, ids), results_path)
+    stored = _store(run, scorecard(run, ids), results_path)
+    run.release()
+    return stored
 
 
 def _store(run: Run, rows: DataFrame, results_path: str | None) -> DataFrame:

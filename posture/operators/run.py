@@ -38,6 +38,11 @@ class Run:
             self.scope_problem = " ".join(str(problem).split("\n"))[:600]
             return None
 
+    def release(self) -> None:
+        """Give back what the run keeps; frames that use the scope must be done."""
+        if self.__dict__.get("scope") is not None:
+            self.scope.frame.unpersist()
+
     def marked(self, frame: DataFrame, catalog: str, schema: str | None = None) -> DataFrame:
         """Rows with the flag ``in_scope``; without a scope nothing is inside."""
         if self.scope is None:

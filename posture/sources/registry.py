@@ -110,6 +110,18 @@ class Sources:
             .where(F.col("source").isNotNull())
         )
 
+    def census(self, names: Iterable[str] = tuple(SCHEMAS)) -> DataFrame:
+        """``(source, readable, n)``: the rows of each source, NULL where it cannot be read."""
+        kind = "source string, readable boolean, n bigint"
+        lost = [(n, False, None) for n in names if not self.readable(n)]
+        counted = self.spark.createDataFrame(lost, kind)
+        for name in names:
+            if self.readable(name):
+                n = self.frame(name).agg(F.count(F.lit(1)).alias("n"))
+                row = n.select(F.lit(name).alias("source"), F.lit(True).alias("readable"), "n")
+                counted = counted.unionByName(row)
+        return counted
+
     def readiness(self) -> DataFrame:
         """The required sources with their purpose and whether they can be read."""
         needed = self.spark.createDataFrame(

@@ -69,6 +69,28 @@ def test_replace_by_run_and_area(spark, table, path):
     assert one.columns == list(results.COLUMNS)
 
 
+def test_a_broken_write_changes_nothing(spark, table, path, monkeypatch):
+    """One that fails in its second area, and one that ends before it is noted."""
+    results.write_results(table, path)
+    first = stored(spark, path)
+    status = F.when(F.col("pillar") == "B", F.raise_error(F.lit("lost"))).otherwise(F.lit("open"))
+    with pytest.raises(Exception, match="lost"):
+        results.write_results(table.withColumn("status", status.cast("string")), path)
+    assert stored(spark, path) == first
+    worse = table.withColumn("status", F.lit("open"))
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(results, "_note", lost)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            results.write_results(worse, path)
+    assert stored(spark, path) == first
+    results.write_results(worse, path)
+    assert {s for *_, s in stored(spark, path)} == {"open"} and len(stored(spark, path)) == 4
+
+
 def test_catalog_table(spark, table):
     name = "posture_test.results_" + tempfile.mkdtemp(prefix="run-")[-6:].lower()
     results.write_results_table(table, name)
@@ -142,6 +164,9 @@ def test_registry(spark):
     assert len(ready) == 13
     assert [s for s, ok in ready.items() if ok] == ["query.history"]
     assert sources.availability().count() == len(SCHEMAS)
+    census = {r["source"]: (r["readable"], r["n"]) for r in sources.census().collect()}
+    assert len(census) == len(SCHEMAS)
+    assert census["query.history"] == (True, 0) and census["access.audit"] == (False, None)
     assert "access.audit" in sources.problems
 
 
