@@ -254,34 +254,55 @@ def test_native_hash_agrees(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_tree_loses_no_link(seed, monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF", 16)
+@pytest.mark.parametrize("leaf, hot", [(256, 20_000), (16, 20_000), (8, 60), (1000, 1000)])
+def test_blocks_and_trees_lose_no_link(spark, seed, leaf, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = np.random.default_rng(seed)
-    centres = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+    centres = rng.integers(0, 1 << 64, 12, dtype=np.uint64)
+    # Others agree in all but one block, so that block values are large and can be split.
+    centres = np.append(centres, centres[0] ^ rng.integers(0, 1 << 16, 300, dtype=np.uint64))
     nodes = {int(c) for c in centres}
-    for c in centres:
+    for c in centres[:40]:
         for _ in range(30):
             bits = rng.choice(64, rng.integers(1, 6), replace=False)
             nodes.add(int(c) ^ sum(1 << int(b) for b in bits))
     nodes = np.array(sorted(nodes), dtype=np.uint64)
-    tree = simhash.grow(nodes[::3], 40)
-    rows, shards = simhash.shards_of(tree, nodes)
-    assert len(set(shards.tolist())) > 4
-    assert set(rows.tolist()) == set(range(len(nodes)))
-    joined = list(range(len(nodes)))
-
-    def find(x):
-        while joined[x] != x:
-            x = joined[x]
-        return x
-
-    for shard in np.unique(shards):
-        mine = rows[shards == shard]
-        for a, b in simhash.forest(nodes[mine]):
-            joined[find(mine[a])] = find(mine[b])
-    for i in range(len(nodes)):
-        for j in np.flatnonzero(np.bitwise_count(nodes[:i] ^ nodes[i]) <= 3):
-            assert find(i) == find(int(j))
+    near = np.bitwise_count(nodes[:, None] ^ nodes[None, :]) <= 3
+    label = np.arange(len(nodes))
+    while True:
+        after = np.where(near, label[None, :], len(nodes)).min(axis=1)
+        if (after == label).all():
+            break
+        label = after
+    rows = [
+        ((block << 16) + (int(v) >> 16 * block & 0xFFFF), i)
+        for i, v in enumerate(nodes) for block in range(4)
+    ]
+    rows.sort()
+    blocks, place = (np.array(x) for x in zip(*rows, strict=True))
+    first = place[simhash.classes(blocks.astype(np.int32), nodes[place])]
+    own = np.arange(len(nodes))
+    while True:
+        before = own.copy()
+        np.minimum.at(own, place, own[first])
+        np.minimum.at(own, first, own[place])
+        if (own == before).all():
+            break
+    assert own.tolist() == label.tolist()
+    # A class is told by a star: fewer links than rows, however dense it is.
+    assert (first != place).sum() < len(place)
+
+
+def test_links_of_a_dense_ball(spark, monkeypatch):
+    """More rows than a chunk, dealt over batches, against all pairs."""
+    monkeypatch.setattr(simhash, "CHUNK", 50)
+    nodes = [1 << i | 1 << j for i in range(64) for j in range(i)] + [0]
+    nodes = [n - (1 << 64) if n >> 63 else n for n in nodes]
+    frame = spark.createDataFrame([(n,) for n in nodes], "node bigint").repartition(4)
+    found = simhash.components(simhash.links(frame)).collect()
+    assert {r["node"] for r in found} == set(nodes) - {min(nodes)}
+    assert {r["root"] for r in found} == {min(nodes)}
 
 
 def test_components_of_long_chains(spark):
