@@ -38,6 +38,9 @@ WINDOW_PIECES = 20_000
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and parts of words, whose ids a task keeps; beyond them it starts anew.
 KNOWN_WORDS = 600_000
+#: A sign with an id of its own, and the number of new parts that it joins to one text.
+MARK = "|"
+JOINED = 512
 END = END_ID.to_bytes(4, "little")
 LETTER_MEETS_SIGN = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
 
@@ -69,6 +72,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content for t in added]
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
@@ -77,17 +81,41 @@ class WordIds:
             self.words.clear()
         if len(self.parts) > KNOWN_WORDS:
             self.parts.clear()
-        split = {w: LETTER_MEETS_SIGN.split(w) for w in words}
+        plain = [w for w in words if w.isalpha()]  # nothing to cut
+        found = dict(zip(plain, self._encoded(plain), strict=True))
+        split = {w: LETTER_MEETS_SIGN.split(w) for w in words if w not in found}
         fresh = list({p for parts in split.values() for p in parts if p not in self.parts})
-        encoded = self.tokenizer.encode_batch_fast(
-            [p.decode("utf-8") for p in fresh], add_special_tokens=False
-        )
-        for part, found in zip(fresh, encoded, strict=True):
-            self.parts[part] = array.array("I", found.ids).tobytes()
-        found = {w: b"".join([self.parts[p] for p in parts]) for w, parts in split.items()}
+        self.parts.update(zip(fresh, self._encoded(fresh), strict=True))
+        known = self.parts.__getitem__
+        for word, parts in split.items():
+            found[word] = known(word) if len(parts) == 1 else b"".join(map(known, parts))
         self.words.update(found)
         return found
 
+    def _encoded(self, parts: list[bytes]) -> Iterator[bytes]:
+        """Ids of parts, many as one text: a sign that they lack stands between them."""
+        sign = MARK.encode()
+        groups = [
+            list(group)
+            for marked, some in itertools.groupby(parts, lambda p: sign in p)
+            for group in ([[p] for p in some] if marked else itertools.batched(some, JOINED))
+        ]
+        texts = [f" {MARK} ".join([p.decode("utf-8") for p in group]) for group in groups]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for group, found in zip(groups, encoded, strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark) if len(group) > 1 else np.zeros(0, np.int64)
+            if len(ends) != len(group) - 1:  # a part holds the sign's id after all
+                for one in self.tokenizer.encode_batch_fast(
+                    [p.decode("utf-8") for p in group], add_special_tokens=False
+                ):
+                    yield array.array("I", one.ids).tobytes()
+                continue
+            raw, begin = ids.tobytes(), 0
+            for end in [*ends.tolist(), len(ids)]:
+                yield raw[4 * begin : 4 * end]
+                begin = end + 1
+
     def encode(self, texts: list[str]) -> list[bytes]:
         # Lower-casing ASCII letters changes no id and halves the number of words.
         split = [
