@@ -7,11 +7,13 @@ earlier links gave. While the chain is trained these log-odds come from models t
 seen the document (``OOF_FOLDS`` folds by a hash of its id); for prediction each link is
 fitted once more on all training rows.
 
-Marks are counted by label over all labelled rows on the executors; the ``MARKS`` that tell
-a label best apart (by the z score of the difference of two shares) are the features of the
+Marks are counted by label on the executors, where the texts lie, over at most ``COUNT_DOCS``
+labelled rows with a positive label and as many others; the ``MARKS`` that tell a label best
+apart (by the z score of the difference of two shares) are the features of the
 chain. Each fit goes on until its gradient is ``TOLERANCE`` of what it began with. Training
 takes at most ``TRAIN_DOCS`` labelled rows with a positive label and as many others, chosen
-by a hash of the id: a bound for learning only, every whole text is scored. Rows are
+by a hash of the id (where ids repeat, at most 4 x ``TRAIN_DOCS`` documents in all, those
+with the smallest ids): bounds for learning only, every whole text is scored. Rows are
 weighted halfway back to the shares in which they occur (square root), so that the rarer
 label is not drowned.
 
@@ -38,6 +40,7 @@ from posture.llm.common import LOWER, UPPER, durable, remainder, table
 #: Label columns in chain order, and the value that counts as positive.
 CHAIN = (("quality", 0), ("toxic", 1))
 TRAIN_DOCS = 4_000
+COUNT_DOCS = 40_000
 MARKS = 4_000
 MIN_DOCS = 4
 BEGINNINGS = (4, 5, 6, 7)
@@ -48,8 +51,6 @@ THRESHOLD = 0.35
 RIDGE = 3e-4
 #: Length of the gradient at which a fit ends, as a share of its length at the beginning.
 TOLERANCE = 1e-5
-#: Compression level of texts that are sent to their labels.
-PACKED = 6
 #: Marks that a task counts before it hands them on.
 COUNTED = 500_000
 KNOWN_WORDS = 300_000
@@ -229,34 +230,31 @@ def known_labels(labels: DataFrame, chain) -> DataFrame:
     return known.withColumn("__any", any_)
 
 
-def labelled_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """All labelled documents with their compressed texts."""
-
-    @F.pandas_udf("binary")
-    def pack(texts):
-        import zstandard
+def drawn(known: DataFrame, most: int) -> DataFrame:
+    """Of each class at most so many labelled rows, by a hash of the id."""
+    parts = [
+        known.filter(F.col("__any") == value).orderBy(F.xxhash64("__id"), "__id").limit(most)
+        for value in (0, 1)
+    ]
+    return parts[0].unionByName(parts[1])
 
-        packer = zstandard.ZstdCompressor(level=PACKED)
-        return texts.map(lambda t: packer.compress((t or "").encode("utf-8", "surrogatepass")))
 
-    packed = docs.select(F.col("doc_id").cast("bigint").alias("__id"), pack("text").alias("packed"))
-    return packed.filter(F.col("__id").isNotNull()).join(known, "__id")
+def labelled_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The documents whose marks are counted, with their labels, where they lie."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("__doc"), "text")
+    # At most 2 x COUNT_DOCS rows of a few numbers are broadcast.
+    rows = F.broadcast(drawn(known, COUNT_DOCS))
+    return texts.join(rows, F.col("__doc") == F.col("__id"))
 
 
 def training_texts(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, list[float]]:
     """id, text, labels and class of a bounded number of documents; the classes' weights."""
     counts = {r["__any"]: r["n"] for r in known.groupBy("__any").agg(F.count("*").alias("n")).collect()}
-    drawn = None
-    for value in (0, 1):
-        part = (
-            known.filter(F.col("__any") == value)
-            .orderBy(F.xxhash64("__id"), "__id")
-            .limit(TRAIN_DOCS)
-        )
-        drawn = part if drawn is None else drawn.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("__doc"), "text")
     # At most 2 x TRAIN_DOCS rows of a few numbers are broadcast.
-    joined = texts.join(F.broadcast(drawn), F.col("__doc") == F.col("__id"))
+    joined = texts.join(
+        F.broadcast(drawn(known, TRAIN_DOCS)), F.col("__doc") == F.col("__id")
+    )
     return joined.drop("__id"), [
         max(1.0, counts.get(v, 0) / TRAIN_DOCS) ** 0.5 for v in (0, 1)
     ]
@@ -267,9 +265,6 @@ def choose_marks(rows: DataFrame, names: list[str]) -> list[str]:
     flags = [f"__is_{n}" for n in names]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
         seen: dict[tuple, Counter] = {}
 
         def counted() -> Iterator[pa.RecordBatch]:
@@ -281,16 +276,16 @@ def choose_marks(rows: DataFrame, names: list[str]) -> list[str]:
 
         for batch in batches:
             keys = zip(*(batch.column(f).to_pylist() for f in flags), strict=True)
-            for key, text in zip(keys, batch.column("packed"), strict=True):
+            for key, text in zip(keys, batch.column("text"), strict=True):
                 found = seen.setdefault(key, Counter())
-                found.update(marks(unpack(text.as_py()).decode("utf-8", "surrogatepass")))
+                found.update(marks(text.as_py() or ""))
                 found[""] += 1  # the number of rows goes along as a mark without a name
                 if sum(map(len, seen.values())) > COUNTED:
                     yield from counted()
         yield from counted()
 
     kinds = ", ".join(["mark string", "n bigint", *(f"{f} int" for f in flags)])
-    counted = rows.select("packed", *flags).mapInArrow(count, kinds)
+    counted = rows.select("text", *flags).mapInArrow(count, kinds)
     sums = durable(
         counted.groupBy("mark").agg(
             F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(f)).alias(f) for f in flags)
