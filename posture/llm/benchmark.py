@@ -19,13 +19,13 @@ columns of either table are ignored.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posture.llm.common import LOWER, UPPER, table
+from posture.llm.common import LOWER, UPPER, table, whole_rows
 
 WINDOW = 10
 BLOCK_CHARS = 32_000_000
@@ -43,13 +43,16 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.translate(FOLD))
 
 
-@lru_cache(maxsize=1)
-def _automaton(items: tuple[tuple[str, str], ...], window: int):
-    """Word numbers, automaton, and per pattern its length and the items that have it."""
+@cache
+def _automaton(items: tuple[tuple[str | None, str], ...], window: int):
+    """Word numbers, automaton, and per pattern its length and the items that have it.
+
+    Built once per worker and block, and kept.
+    """
     import ahocorasick
 
     numbers: dict[str, int] = {}
-    owners: dict[tuple[int, ...], set[str]] = {}
+    owners: dict[tuple[int, ...], set[str | None]] = {}
     for item, text in items:
         found = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)]
         size = min(window, len(found))
@@ -80,7 +83,7 @@ def occurrences(text: str, automaton, numbers: dict[str, int], shortest: int):
         return len(words), [], set()
     got = numbers.get
     ids = [got(w, 0) for w in words]
-    items: set[str] = set()
+    items: set[str | None] = set()
     hits: list[tuple[int, int]] = []
     for begin, end in _runs(np.array(ids, dtype=np.int64), shortest):
         for last, (size, owners) in automaton.iter(tuple(ids[begin:end])):
@@ -106,7 +109,7 @@ def _offsets(text: str, spans: list[list[int]]) -> list[dict]:
     ]
 
 
-def blocks_of(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> list[list[tuple[str, str]]]:
+def blocks_of(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> list[list[tuple[str | None, str]]]:
     """The items, cut into blocks of bounded text; a longer item is a block of its own."""
     rows = (
         benchmark.select(
@@ -117,13 +120,13 @@ def blocks_of(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> list[list[tuple
         .distinct()
         .orderBy("item", "text")
     )
-    blocks: list[list[tuple[str, str]]] = [[]]
+    blocks: list[list[tuple[str | None, str]]] = [[]]
     gathered = 0
     for row in rows.toLocalIterator():
         if gathered and gathered + len(row["text"]) > limit:
             blocks.append([])
             gathered = 0
-        blocks[-1].append(("" if row["nameless"] else row["item"], row["text"]))
+        blocks[-1].append((None if row["nameless"] else row["item"], row["text"]))
         gathered += len(row["text"])
     return blocks
 
@@ -146,7 +149,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             rows = []
             for text in texts:
                 n, spans, items = occurrences(text or "", automaton, numbers, shortest)
-                rows.append((n, sorted(items - {""}), _offsets(text or "", spans)))
+                rows.append((n, sorted(items - {None}), _offsets(text or "", spans)))
             return pd.DataFrame(rows, columns=["n_words", "items", "spans"])
 
         parts.append(f"__block{place}")
@@ -192,8 +195,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go, the rest stays as it is."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("__spans") == 0).select(*docs.columns)
+    found = contamination(whole_rows(docs), table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("__spans") == 0).select("row.*")
 
 
 OP7_SQL = r"""

@@ -85,6 +85,11 @@ def successors(rows: DataFrame, *key: str) -> DataFrame:
     return linked.select(*key, F.coalesce("inside", "beyond").alias("next"))
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, text): all columns in one, so that no name of theirs meets an inner one."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["text"])
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

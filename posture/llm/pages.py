@@ -74,7 +74,7 @@ FRAME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*?"
     r"(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<[!?][^>]*>?|"
-    r"<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>",
+    r"<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>=]|=(?!\s*[\"'])|=\s*(?:\"[^\"]*\"|'[^']*'))*)/?>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(
@@ -460,7 +460,8 @@ def extracted(pages: DataFrame) -> DataFrame:
         F.col("key").alias("__key"), F.col("shared").alias("__shared")
     )
     keyed = pages.withColumn("__key", row_key(pages)).withColumn("__packed", pack("html"))
-    found = keyed.drop("html").join(shared, "__key", "left")
+    # The join that a large table takes is taken at any size.
+    found = keyed.drop("html").join(shared.hint("merge"), "__key", "left")
     return found.withColumn("__text", extract("__packed", "__shared")).drop(
         "__key", "__packed", "__shared"
     )

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posture.llm.common import remainder, table
+from posture.llm.common import remainder, table, whole_rows
 
 CHUNK = 512
 DICTIONARY = 64 * 1024
@@ -200,5 +200,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents below the threshold go, the rest stays as it is."""
-    found = score(docs, _learnt(spark, sf_dir))
-    return found.filter(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    found = score(whole_rows(docs), _learnt(spark, sf_dir))
+    return found.filter(F.col("__score") >= THRESHOLD).select("row.*")

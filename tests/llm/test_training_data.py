@@ -516,6 +516,14 @@ def lcs(a, b):
     return best[-1][-1]
 
 
+def test_quotation_marks_in_attributes():
+    """They delimit a value only behind its equals sign."""
+    assert pages.main_text("<p title=it's>Story isn't lost</p>", ()) == "Story isn't lost"
+    assert pages.main_text("<p title=\"a > b\" x='<'>Kept</p>", ()) == "Kept"
+    assert pages.main_text("<div class = 'menu' id=x>Gone</div><p a=b=c>Kept</p>", ()) == "Kept"
+    assert pages.main_text("<p don't>Kept</p> it's \"quoted\"", ()) == "Kept\n\nit's \"quoted\""
+
+
 @pytest.mark.parametrize("cells", [pages.CELLS, 12])
 def test_alignment_is_longest(monkeypatch, cells):
     monkeypatch.setattr(pages, "CELLS", cells)
@@ -705,3 +713,35 @@ def test_pipeline_step_by_step(spark):
     tokens = packed.groupBy("doc_id").sum("length").count()
     assert tokens == clean.count()
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "packing"
+
+
+def test_stages_leave_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(80)
+    names = ("__x", "__m", "__sure", "__score", "__block0", "__items", "__spans", "row", "a.b")
+    odd = docs
+    for i, name in enumerate(names):
+        odd = odd.withColumn(name, odd["doc_id"] * 10 + i)
+    for stage in (quality.quality_stage, benchmark.decontamination_stage):
+        found = stage(spark, odd, SF_DIR)
+        assert found.columns == odd.columns
+        kept = found.collect()
+        assert kept and all(
+            r[n] == r["doc_id"] * 10 + i for r in kept for i, n in enumerate(names)
+        )
+        assert sorted(r["doc_id"] for r in kept) == sorted(
+            r["doc_id"] for r in stage(spark, docs, SF_DIR).collect()
+        )
+
+
+def test_an_item_of_the_empty_name_and_several_blocks(spark, monkeypatch):
+    texts = ["alpha beta gamma delta", "one two three four five", "red green blue white"]
+    items = [("", texts[0]), (None, texts[1]), ("c", texts[2])]
+    items = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for limit in (10, 1000):
+        cut = benchmark.blocks_of
+        with monkeypatch.context() as small:
+            small.setattr(benchmark, "blocks_of", lambda b, limit=limit: cut(b, limit))
+            found = benchmark.contamination(docs, items).select("doc_id", "__items", "__spans").collect()
+        got = {r["doc_id"]: (r["__items"], len(r["__spans"])) for r in found}
+        assert got == {0: ([""], 1), 1: ([], 1), 2: (["c"], 1)}
