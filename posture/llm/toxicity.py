@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posture.llm.common import LOWER, UPPER, durable, remainder, table
+from posture.llm.common import durable, remainder, table
 
 #: Label columns in chain order, and the value that counts as positive.
 CHAIN = (("quality", 0), ("toxic", 1))
@@ -56,7 +56,11 @@ COUNTED = 500_000
 KNOWN_WORDS = 300_000
 #: Fixed value: words, and runs of ASCII signs between them, after A-Z are lower-cased.
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[!-/:-@\[-`{-~]+")
-FOLD = str.maketrans(UPPER, LOWER)
+
+
+def folded(text: str) -> str:
+    """A-Z lower-cased; bytes.lower touches nothing else and takes one pass."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def beginnings(word: str) -> list[str]:
@@ -65,7 +69,7 @@ def beginnings(word: str) -> list[str]:
 
 def marks(text: str) -> set[str]:
     """All marks of a text; ``=`` a whole word, ``n^`` a beginning that n words share."""
-    words = set(TOKEN.findall(text.translate(FOLD)))
+    words = set(TOKEN.findall(folded(text)))
     shared = Counter(b for w in words for b in beginnings(w))
     found = {"=" + w for w in words}
     for begin, n in shared.items():
@@ -87,7 +91,7 @@ class Reader:
             self.words.clear()
         found: list[int] = []
         shared: dict[str, int] = {}
-        words = set(TOKEN.findall(text.translate(FOLD)))
+        words = set(TOKEN.findall(folded(text)))
         for word in words:
             known = self.words.get(word)
             if known is None:
