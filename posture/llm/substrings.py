@@ -1,4 +1,4 @@
-"""Substring dedup by sorted windows, partitioned by prefix, in place of suffix trees.
+"""Substring dedup by suffix trees of prefix groups.
 
 A window is ``WINDOW`` consecutive words. Words of a document that lie in a window whose words
 also start earlier (smaller id, or same document and earlier start) are removed.
@@ -18,9 +18,10 @@ Only suffixes that can share a window are sorted:
    than ``HEAVY`` open stretches. Of equal suffixes that a task fetches within ``GROUP`` of
    each other only the earliest is sent on, so a passage held by a third of all documents
    arrives once per that many.
-4. *Sorted windows.* A task gathers whole prefix groups up to ``GROUP`` suffixes and sorts
-   their first ``WINDOW`` words; a run of equal ones is what a deep internal node of their
-   suffix tree would hold. Its earliest leaf stays, the others are repeats. Words are
+4. *Trees.* A task gathers whole prefix groups up to ``GROUP`` suffixes and builds their
+   suffix tree as sorted suffixes with common-prefix lengths, by doubling. Under a topmost
+   internal node of ``WINDOW`` words or more the earliest leaf stays; every other leaf repeats
+   it for as many words as the two share, which gives the maximal repeats as spans. Words are
    compared, not hashes.
 
 Defined results: a NULL text has no words; texts of fewer words than a window lose nothing;
@@ -38,19 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posture.llm.common import durable, ship, slices, table, text_or_empty
+from posture.llm.common import durable, ship, slices, table, text_id, text_or_empty
 
 WINDOW = 20
 ANCHOR = 6
-HEAVY = 2_000
+HEAVY = 500
 GROUP = 30_000
 KNOWN_WORDS = 300_000
 NOBODY = -(1 << 63)
 REPEAT, OPEN = 0, 1
 
-STRETCHES = "anchor bigint, windows bigint, id bigint, tag int, start int, n int"
-MARKED = "kind int, anchor bigint, id bigint, tag int, start int, n int"
-SUFFIXES = "kind int, prefix bigint, id bigint, tag int, start int, n int, words string"
+STRETCHES = "anchor bigint, windows bigint, id bigint, tag bigint, start int, n int"
+MARKED = "kind int, anchor bigint, id bigint, tag bigint, start int, n int"
+SUFFIXES = "kind int, prefix bigint, id bigint, tag bigint, start int, n int, words string"
 
 
 class _Hashes(dict):
@@ -109,9 +110,11 @@ def stretches(values: np.ndarray, doc: np.ndarray):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    doc_id = F.col("doc_id").cast("bigint")
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NOBODY)).alias("id"),
-        F.hash(text_or_empty()).alias("tag"),
+        doc_id.alias("doc_id"),
+        F.coalesce(doc_id, F.lit(NOBODY)).alias("id"),
+        text_id(text_or_empty()).alias("tag"),
         text_or_empty().alias("text"),
     )
 
@@ -177,45 +180,88 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def deep_nodes(suffixes: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes, and True where one shares all words with the one before.
+class SuffixTree:
+    """The suffixes of some word sequences in order, with the lengths of their common prefixes.
 
-    Runs of equal windows are what the deep internal nodes of a suffix tree would hold. Leaves
-    of a node come in the order of ``place``.
+    ``ranks[k]`` numbers the first 2**k words from each place on, found from pairs of the
+    numbers of half the length. Sorted suffixes and the common prefixes of neighbours are a
+    suffix tree: an internal node of depth d is a longest run of neighbours that share d words.
+    Sequences end in signs of their own, so that no common prefix goes beyond an end.
+    """
+
+    def __init__(self, regions: list[list], starts: np.ndarray):
+        numbers: dict = {}
+        sizes = np.array([len(r) + 1 for r in regions], dtype=np.int64)
+        ends = np.cumsum(sizes) - 1
+        coded = np.empty(int(sizes.sum()), dtype=np.int64)
+        inside = np.ones(len(coded), dtype=bool)
+        inside[ends] = False
+        flat = (numbers.setdefault(w, len(numbers)) for words in regions for w in words)
+        coded[inside] = np.fromiter(flat, dtype=np.int64, count=int(inside.sum()))
+        coded[ends] = len(numbers) + np.arange(len(ends))
+        self.ranks = [coded]
+        length = 1
+        while length < sizes.max(initial=1):
+            here = self.ranks[-1]
+            beyond = np.full(len(here), -1, dtype=np.int64)
+            beyond[:-length] = here[length:]
+            pairs = (here << np.int64(31)) + beyond
+            self.ranks.append(np.unique(pairs, return_inverse=True)[1].astype(np.int64))
+            length *= 2
+        self.order = starts[np.argsort(self.ranks[-1][starts], kind="stable")]
+        self.common = np.zeros(len(starts), dtype=np.int64)
+        self.common[1:] = self.shared(self.order[:-1], self.order[1:])
+
+    def shared(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Number of words that the suffixes at two places have in common."""
+        left, right = left.copy(), right.copy()
+        found = np.zeros(len(left), dtype=np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            ranks = self.ranks[k]
+            last = len(ranks) - 1
+            equal = ranks[np.minimum(left, last)] == ranks[np.minimum(right, last)]
+            step = np.where(equal & (left != right), 1 << k, 0)
+            left, right, found = left + step, right + step, found + step
+        return found
+
+    def deep_nodes(self, depth: int) -> np.ndarray:
+        """Number of the topmost node of at least ``depth`` words over each sorted suffix."""
+        return np.cumsum(self.common < depth) - 1
+
+
+def maximal_repeats(regions: list[list], n: np.ndarray, *place: np.ndarray) -> list[tuple]:
+    """(region, first window, words): longest stretches that start earlier elsewhere.
+
+    The first ``n`` suffixes of each region are leaves; ``place`` orders the regions' first
+    words, its last column counts words. Under a topmost deep node the earliest leaf stays;
+    every other leaf repeats it for as many words as the two share. A stretch is given once,
+    from where it begins: one that begins a word later and ends no later is part of it.
     """
-    order = np.lexsort((*place[::-1], *suffixes.T[::-1]))
-    ranked = suffixes[order]
-    common = np.zeros(len(order), dtype=bool)
-    common[1:] = (ranked[1:] == ranked[:-1]).all(axis=1)
-    return order, common
-
-
-def _repeats(group: list[int], words: list[list], ids, tag, start, n) -> list[np.ndarray]:
-    """Per region, which of its windows start earlier elsewhere (in the same prefix group)."""
-    numbers: dict = {}
-    groups: dict = {}
-    total = sum(n)
-    suffixes = np.empty((total, WINDOW + 1), dtype=np.int32)
     region = np.repeat(np.arange(len(n)), n)
-    at = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-    row = 0
-    for r, found in enumerate(words):
-        coded = np.array([numbers.setdefault(w, len(numbers)) for w in found], dtype=np.int32)
-        suffixes[row : row + n[r], 0] = groups.setdefault(group[r], len(groups))
-        suffixes[row : row + n[r], 1:] = np.lib.stride_tricks.sliding_window_view(coded, WINDOW)
-        row += n[r]
-    ids, tag, start = np.asarray(ids), np.asarray(tag), np.asarray(start)
-    own = (ids[region], tag[region], start[region] + at)
-    order, common = deep_nodes(suffixes, *own)
-    del suffixes
-    # The first leaf of a node is the earliest; equal places are one document, read twice.
-    head = order[np.flatnonzero(~common)[np.cumsum(~common) - 1]]
-    later = np.zeros(len(order), dtype=bool)
+    at = np.arange(len(region)) - np.repeat(np.cumsum(n) - n, n)
+    sizes = np.array([len(r) + 1 for r in regions], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    tree = SuffixTree(regions, begins[region] + at)
+    leaf = np.empty(int(sizes.sum()), dtype=np.int64)
+    leaf[begins[region] + at] = np.arange(len(region))
+    leaf = leaf[tree.order]
+    own = [c[region[leaf]] for c in place[:-1]] + [place[-1][region[leaf]] + at[leaf]]
+    node = tree.deep_nodes(WINDOW)
+    by_place = np.lexsort((*own[::-1], node))
+    heads = by_place[np.flatnonzero(np.diff(node[by_place], prepend=-1))]
+    head = heads[node]
+    # Equal places are one document, read twice.
+    later = np.zeros(len(leaf), dtype=bool)
     for column in own:
-        later |= column[order] != column[head]
-    found = np.zeros(total, dtype=bool)
-    found[order[common & later]] = True
-    return np.split(found, np.cumsum(n)[:-1])
+        later |= column != column[head]
+    later = np.flatnonzero(later)
+    words = tree.shared(tree.order[later], tree.order[head[later]])
+    r, a = region[leaf[later]], at[leaf[later]]
+    sort = np.lexsort((a, r))
+    r, a, end = r[sort], a[sort], (a + words)[sort]
+    inner = np.zeros(len(r), dtype=bool)
+    inner[1:] = (r[1:] == r[:-1]) & (a[1:] == a[:-1] + 1) & (end[1:] <= end[:-1])
+    return list(zip(*(c[~inner].tolist() for c in (r, a, end - a)), strict=True))
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -236,7 +282,7 @@ class _Out:
             column.append(value)
 
     def batch(self) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
         arrays = [pa.array(c, k) for c, k in zip(self.columns, kinds, strict=True)]
         names = [f.split()[0] for f in SUFFIXES.split(", ")]
         return pa.RecordBatch.from_arrays(arrays, names=names)
@@ -262,11 +308,15 @@ class _Gathered:
         if not rows:
             return out.batch()
         prefix, ids, tags, starts, ns, words, heavy = (list(x) for x in zip(*rows, strict=True))
-        again = _repeats(prefix, words, ids, tags, starts, ns)
-        for r, flags in enumerate(again):
+        n = np.asarray(ns)
+        left = [np.ones(k, dtype=bool) for k in ns] if keep_rest else []
+        for r, a, size in maximal_repeats(words, n, *map(np.asarray, (ids, tags, starts))):
+            windows = size - WINDOW + 1
+            out.add(REPEAT, starts[r] + a, ids[r], tags[r], starts[r] + a, windows, None)
+            if keep_rest:
+                left[r][a : a + windows] = False
+        for r, flags in enumerate(left):
             for a, b in _runs(flags):
-                out.add(REPEAT, starts[r] + a, ids[r], tags[r], starts[r] + a, b - a, None)
-            for a, b in _runs(~flags) if keep_rest else ():
                 cuts = [(x, x + 1) for x in range(a, b)] if heavy[r] else [(a, b)]
                 for x, y in cuts:
                     found = b" ".join(words[r][x : y + WINDOW - 1])
@@ -313,7 +363,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     keyed = _keyed(docs)
     order = ("anchor", "windows", "id", "tag", "start")
-    rows = keyed.mapInArrow(_cut, STRETCHES).repartitionByRange(*order)
+    # Written first: finding the bounds of the ranges reads narrow rows, not the texts again.
+    rows = durable(keyed.select("id", "tag", "text").mapInArrow(_cut, STRETCHES))
+    rows = rows.repartitionByRange(*order)
     marked = durable(rows.sortWithinPartitions(*order).mapInArrow(_mark, MARKED))
     open_ = marked.filter(F.col("kind") == OPEN).drop("kind")
     heavy = open_.groupBy("anchor").count().filter(F.col("count") > HEAVY).select(
@@ -322,7 +374,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     flagged = open_.join(heavy, F.col("anchor") == F.col("heavy_anchor"), "left")
     part = F.struct("anchor", "start", "n", F.col("heavy_anchor").isNotNull().alias("heavy"))
     parts = flagged.groupBy("id", "tag").agg(F.collect_set(part).alias("parts"))
-    fetched = keyed.join(parts, ["id", "tag"]).mapInArrow(_fetch, SUFFIXES)
+    fetched = keyed.join(parts, ["id", "tag"]).drop("doc_id").mapInArrow(_fetch, SUFFIXES)
     settled = (
         fetched.repartition("prefix")
         .sortWithinPartitions("prefix")
@@ -360,18 +412,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"),
+                    batch.column("doc_id"),
                     pa.array(n_words, pa.int64()),
                     pa.array(n_removed, pa.int64()),
                     pa.array(kept, pa.string()),
                 ],
-                names=["id", "n_words", "n_removed", "text"],
+                names=["doc_id", "n_words", "n_removed", "text"],
             )
 
     met = _keyed(docs).join(spans, ["id", "tag"], "left")
-    found = met.mapInArrow(keep, "id bigint, n_words bigint, n_removed bigint, text string")
-    doc_id = F.when(F.col("id") != NOBODY, F.col("id"))
-    return found.select(doc_id.alias("doc_id"), "n_words", "n_removed", "text")
+    return met.mapInArrow(keep, "doc_id bigint, n_words bigint, n_removed bigint, text string")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -441,6 +441,52 @@ def test_substring_dedup(spark, monkeypatch, heavy, seed):
     assert rows_of(substrings.without_repeats(docs)) == expected_repeats(rows)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_tree_and_maximal_repeats(seed):
+    rng = np.random.default_rng(seed)
+    n = rng.integers(1, 16, 12)
+    regions = [[b"ab"[x : x + 1] for x in rng.integers(0, 2, k + 19)] for k in n]
+    for copy in (3, 7, 8):  # whole copies, and one cut short by another word
+        regions[copy], n[copy] = list(regions[2]), n[2]
+    regions[8][5] = b"c"
+    ids, tags = rng.permutation(12), np.zeros(12, dtype=np.int64)
+    starts = rng.integers(0, 50, 12)
+    ids[7], starts[7] = ids[2], starts[2]  # one document, read twice
+    begins = np.cumsum([0] + [len(r) + 1 for r in regions[:-1]])
+    places = {int(begins[r] + a): (r, a) for r in range(12) for a in range(n[r])}
+    tree = substrings.SuffixTree(regions, np.array(list(places)))
+    suffix = {x: regions[r][a:] for x, (r, a) in places.items()}
+
+    def shared(left, right):
+        both = zip(suffix[left], suffix[right], strict=False)
+        return next((i for i, (x, y) in enumerate(both) if x != y), None) if left != right else 0
+
+    ranked = tree.order.tolist()
+    assert sorted(ranked) == sorted(places)
+    for before, after, common in zip(ranked, ranked[1:], tree.common[1:].tolist(), strict=False):
+        expected = shared(before, after)
+        shorter = min(len(suffix[before]), len(suffix[after]))
+        assert common == (shorter if expected is None else expected)
+
+    first: dict = {}
+    where = {x: (ids[r], starts[r] + a) for x, (r, a) in places.items()}
+    for x in sorted(places, key=where.get):
+        first.setdefault(tuple(suffix[x][:20]), where[x])
+    expected = {places[x] for x in places if first[tuple(suffix[x][:20])] != where[x]}
+    spans = substrings.maximal_repeats(regions, n, ids, tags, starts)
+    assert {(r, a + k) for r, a, size in spans for k in range(size - 19)} == expected
+    for r, a, size in spans:  # no span lies in the one that begins a word before
+        assert not any(q == r and b == a - 1 and b + m >= a + size for q, b, m in spans)
+
+
+def test_smallest_id_and_null_id(spark):
+    text = " ".join(f"w{i}" for i in range(25))
+    rows = [(None, text), (-(1 << 63), "x " + text), (5, text)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: r["n_removed"] for r in substrings.without_repeats(docs).collect()}
+    assert found[None] == 0 and found[-(1 << 63)] == 25 and found[5] == 25
+
+
 def test_a_passage_in_many_documents(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"a{i} b{i} c{i} {passage} d{i} e{i}") for i in range(700)]
