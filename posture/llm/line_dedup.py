@@ -162,8 +162,9 @@ def keep_bitmaps(
     ``keep_first`` its first occurrence, by document and position, stays.
     """
     ship(docs.sparkSession)
+    # Written first: finding the bounds of the ranges reads narrow rows, not the texts again.
     ordered = (
-        keyed_lines(docs)
+        durable(keyed_lines(docs))
         .repartitionByRange("h1", "h2", "doc_id")
         .sortWithinPartitions("h1", "h2", "doc_id", "pos", "text_id")
     )
