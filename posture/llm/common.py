@@ -116,13 +116,15 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``CHUNK_CHARS`` bytes of text, one row at least."""
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_CHARS
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of text, one row at least."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy()
         begin, gathered = 0, 0
         for row, size in enumerate(sizes):
-            if row > begin and gathered + size > CHUNK_CHARS:
+            if row > begin and gathered + size > most:
                 yield batch.slice(begin, row - begin)
                 begin, gathered = row, 0
             gathered += size

@@ -18,15 +18,15 @@ NULL ids are kept; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import array
 import bisect
 import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +36,19 @@ CAPACITY = 2048
 END_ID = 1
 WINDOW_PIECES = 20_000
 VOCABULARY = "word_bpe_49k.json"
-#: Words, and parts of words, whose ids a task keeps; beyond them it starts anew.
+#: Words, and parts of words, whose ids a task keeps before it makes room.
 KNOWN_WORDS = 600_000
-#: A sign with an id of its own, and the number of new parts that it joins to one text.
+#: Bytes of text that are encoded at a time.
+SLICE = 8_000_000
+#: Words whose ids are gathered at a time.
+GATHERED = 1 << 20
+#: How the vocabulary marks the end of a word, a sign with an id of its own, and the number
+#: of new parts that are joined to one text.
+WORD_END = "</w>"
 MARK = "|"
 JOINED = 512
 END = END_ID.to_bytes(4, "little")
-LETTER_MEETS_SIGN = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
+LETTER_MEETS_SIGN = re.compile(r"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
 
 PIECE_SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint,"
@@ -57,10 +63,11 @@ PLACED_SCHEMA = (
 class WordIds:
     """Ids of texts, word by word: the vocabulary's rules never look across white space.
 
-    Words between white space are encoded once and remembered; a new word is first cut where
-    a letter meets a sign, as the vocabulary's rules do, and only new parts are encoded. A
-    text that holds one of the vocabulary's special strings is encoded whole. Ids are kept
-    as little-endian bytes.
+    A slice's texts are cut at white space and each different word looked up once; their ids
+    lie one behind the other in one array, and a text's ids are gathered from it at once. A
+    new word is first cut where a letter meets a sign, as the vocabulary's rules do, and only
+    new parts are encoded. A text that holds one of the vocabulary's special strings is
+    encoded whole. Ids are given as little-endian bytes.
     """
 
     def __init__(self, path: str):
@@ -73,71 +80,120 @@ class WordIds:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content for t in added]
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        if len(self.words) > KNOWN_WORDS:
-            self.words.clear()
-        if len(self.parts) > KNOWN_WORDS:
-            self.parts.clear()
-        plain = [w for w in words if w.isalpha()]  # nothing to cut
-        found = dict(zip(plain, self._encoded(plain), strict=True))
-        split = {w: LETTER_MEETS_SIGN.split(w) for w in words if w not in found}
-        fresh = list({p for parts in split.values() for p in parts if p not in self.parts})
-        self.parts.update(zip(fresh, self._encoded(fresh), strict=True))
-        known = self.parts.__getitem__
-        for word, parts in split.items():
-            found[word] = known(word) if len(parts) == 1 else b"".join(map(known, parts))
-        self.words.update(found)
-        return found
-
-    def _encoded(self, parts: list[bytes]) -> Iterator[bytes]:
-        """Ids of parts, many as one text: a sign that they lack stands between them."""
-        sign = MARK.encode()
-        groups = [
-            list(group)
-            for marked, some in itertools.groupby(parts, lambda p: sign in p)
-            for group in ([[p] for p in some] if marked else itertools.batched(some, JOINED))
-        ]
-        texts = [f" {MARK} ".join([p.decode("utf-8") for p in group]) for group in groups]
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        for group, found in zip(groups, encoded, strict=True):
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = token.endswith(WORD_END)
+        # Numbers of words; the empty one is 0 and has no ids.
+        self.numbers = {"": 0}
+        self.ids = np.zeros(0, dtype="<u4")
+        self.first = self.length = self.seen = np.zeros(1, dtype=np.int64)
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one behind the other, and how many each has."""
+        length = self.length[numbers]
+        before = np.cumsum(length) - length
+        place = np.repeat(self.first[numbers] - before, length) + np.arange(length.sum())
+        return self.ids[place], length
+
+    def _add(self, words: Sequence[str], ids: np.ndarray, length: np.ndarray) -> None:
+        start = len(self.length)
+        self.numbers.update(zip(words, range(start, start + len(words)), strict=True))
+        self.first = np.concatenate((self.first, np.cumsum(length) - length + len(self.ids)))
+        self.length = np.concatenate((self.length, length))
+        self.seen = np.concatenate((self.seen, np.zeros(len(words), dtype=np.int64)))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def _make_room(self) -> None:
+        """Forget the words of one slice only; all, if too many are left."""
+        kept = self.seen > 1
+        kept &= kept.sum() <= KNOWN_WORDS // 2
+        kept[0] = True
+        number = np.where(kept, np.cumsum(kept) - 1, -1).tolist()
+        self.numbers = {w: number[k] for w, k in self.numbers.items() if number[k] >= 0}
+        self.ids, self.length = self._gather(np.flatnonzero(kept))
+        self.first = np.cumsum(self.length) - self.length
+        self.seen = np.zeros_like(self.length)
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha()]
+        cut = {w: LETTER_MEETS_SIGN.split(w) for w in words if not w.isalpha()}
+        parts = dict.fromkeys(itertools.chain.from_iterable(cut.values()))
+        fresh = [p for p in parts.keys() - set(plain) if p not in self.numbers]
+        self._encode([*plain, *(p for p in fresh if p.isalpha())], " ")
+        self._encode([p for p in fresh if not p.isalpha() and MARK not in p], f" {MARK} ")
+        self._encode_each([p for p in fresh if MARK in p])
+        composed = [w for w, found in cut.items() if len(found) > 1]
+        if composed:
+            n_parts = np.array([len(cut[w]) for w in composed])
+            named = itertools.chain.from_iterable(cut[w] for w in composed)
+            held = np.fromiter(map(self.numbers.__getitem__, named), np.int64, n_parts.sum())
+            ids, length = self._gather(held)
+            self._add(composed, ids, np.add.reduceat(length, np.cumsum(n_parts) - n_parts))
+
+    def _encode(self, parts: list[str], between: str) -> None:
+        """Note the ids of parts, many as one text.
+
+        Letters alone are one word of the vocabulary, whose last id shows its end; other
+        parts have a sign between them that they lack.
+        """
+        groups = list(itertools.batched(parts, JOINED))
+        texts = [between.join(group) for group in groups]
+        all_ids, lengths, sound, odd = [], [], [], []
+        for group, found in zip(
+            groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True
+        ):
             ids = np.array(found.ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark) if len(group) > 1 else np.zeros(0, np.int64)
-            if len(ends) != len(group) - 1:  # a part holds the sign's id after all
-                for one in self.tokenizer.encode_batch_fast(
-                    [p.decode("utf-8") for p in group], add_special_tokens=False
-                ):
-                    yield array.array("I", one.ids).tobytes()
-                continue
-            raw, begin = ids.tobytes(), 0
-            for end in [*ends.tolist(), len(ids)]:
-                yield raw[4 * begin : 4 * end]
-                begin = end + 1
+            if between == " ":
+                length = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            else:
+                marks = ids == self.mark
+                length = np.diff(np.flatnonzero(marks), prepend=-1, append=len(ids)) - 1
+                ids = ids[~marks]
+            if len(length) == len(group) and length.sum() == len(ids):
+                all_ids.append(ids)
+                lengths.append(length)
+                sound += group
+            else:  # a part is more than one word, or holds the sign's id, after all
+                odd += group
+        if sound:
+            self._add(sound, np.concatenate(all_ids), np.concatenate(lengths))
+        self._encode_each(odd)
+
+    def _encode_each(self, parts: list[str]) -> None:
+        if parts:
+            found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+            ids = [np.array(x.ids, dtype="<u4") for x in found]
+            self._add(parts, np.concatenate(ids), np.array([len(x) for x in ids]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.numbers) > KNOWN_WORDS:
+            self._make_room()
+        whole = [any(s in t for s in self.special) for t in texts]
+        plain = ["" if odd else t for t, odd in zip(texts, whole, strict=True)]
         # Lower-casing ASCII letters changes no id and halves the number of words.
-        split = [
-            None if any(s in t for s in self.special) else t.encode("utf-8").lower().split()
-            for t in texts
-        ]
-        # The words of this slice alone: most look-ups stay in a small table.
-        near = dict.fromkeys(itertools.chain.from_iterable(s for s in split if s))
-        get = self.words.get
-        for word in near:
-            near[word] = get(word)
-        fresh = [w for w, ids in near.items() if ids is None]
-        if fresh:
-            near.update(self._learn(fresh))
-        known = near.__getitem__
-        out = []
-        for text, found in zip(texts, split, strict=True):
-            if found is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(array.array("I", ids).tobytes() + END)
-            else:
-                out.append(b"".join(map(known, found)) + END)
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(plain, pa.large_string())))
+        named = cut.flatten().dictionary_encode()
+        words = named.dictionary.to_numpy(zero_copy_only=False)
+        number = self.numbers.get
+        numbers = np.fromiter([number(w, -1) for w in words.tolist()], np.int64, len(words))
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            unknown = words[fresh].tolist()
+            self._learn(unknown)
+            numbers[fresh] = [self.numbers[w] for w in unknown]
+        self.seen[numbers] += 1
+        places = named.indices.to_numpy()
+        raw, n_ids = [], [np.zeros(1, dtype=np.int64)]
+        for begin in range(0, len(places), GATHERED):
+            ids, length = self._gather(numbers[places[begin : begin + GATHERED]])
+            raw.append(ids.tobytes())
+            n_ids.append(length)
+        buffer = b"".join(raw)
+        ends = 4 * np.cumsum(np.concatenate(n_ids))[cut.offsets.to_numpy()]
+        out = [buffer[a:b] + END for a, b in itertools.pairwise(ends.tolist())]
+        for at in np.flatnonzero(whole).tolist():
+            ids = self.tokenizer.encode(texts[at], add_special_tokens=False).ids
+            out[at] = np.array(ids, dtype="<u4").tobytes() + END
         return out
 
 
@@ -157,7 +213,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             row, start, length, crc, total = [], [], [], [], []
             for at, ids in enumerate(coder.encode(texts_of(batch))):
                 for begin in range(0, len(ids), 4 * capacity):
