@@ -32,33 +32,57 @@ def _or_zero(name: str) -> Column:
 def queries(run: Run) -> Pass:
     """One scan of the query log for every question about queries.
 
-    Principals are the carrier; dashboards and alerts are spread keys, present on
-    few rows; clients are counted, a few per principal. The statement text is read once and reduced to flags before the
-    aggregate.
+    Principals are the carrier; dashboards, alerts and clients are spread keys: a
+    principal may use many clients, and groups by both would be nearly as many as rows.
+    The statement text is read once and reduced to flags before the aggregate.
     """
     frame = run.recent(HISTORY, "start_time")
     if run.config.exclude_principals:
         outside = ~F.col("executed_by").isin(*run.config.exclude_principals)
         frame = frame.where(F.coalesce(outside, F.lit(True)))
-    text = F.col("_text")
+    text = lowered(F.col("statement_text"))
     done = F.col("execution_status") == "FINISHED"
     read, shuffled = _or_zero("read_bytes"), _or_zero("shuffle_read_bytes")
     pruned, opened = _or_zero("pruned_files"), _or_zero("read_files")
     spilled = _or_zero("spilled_local_bytes") > 0
     queued = _or_zero("waiting_at_capacity_duration_ms") > 0
-    joins = done & like(text, fixed.JOIN_TEXT)
     # Most statements do not name telemetry at all; one search rules them out.
     on_system = like(text, fixed.SYSTEM_TEXT)
     on_billing_schema = on_system & like(text, fixed.BILLING_SCHEMA_TEXT)
     on_billing = on_billing_schema & like(text, fixed.BILLING_TEXT)
-    on_lineage = on_system & like(text, fixed.LINEAGE_TEXT)
-    on_audit = on_system & like(text, fixed.AUDIT_TEXT)
-    on_history = on_system & like(text, fixed.HISTORY_TEXT)
+    client = F.col("client_application")
+    features = {
+        "on_system": on_system,
+        "browsing": on_system & like(text, fixed.SCHEMA_BROWSING_TEXT),
+        "on_billing_schema": on_billing_schema,
+        "on_billing": on_billing,
+        "on_lineage": on_system & like(text, fixed.LINEAGE_TEXT),
+        "on_audit": on_system & like(text, fixed.AUDIT_TEXT),
+        "on_history": on_system & like(text, fixed.HISTORY_TEXT),
+        "trend": on_billing & (has_any(text, fixed.TREND_WORDS) | text.contains("group by")),
+        "inline_credentials": (
+            matches(text, fixed.INLINE_URL, "jdbc:") | like_any(text, fixed.INLINE_KEYS)
+        ),
+        "file_ingestion": like_any(text, fixed.FILE_INGESTION_TEXT),
+        "ai_functions": matches(text, fixed.AI_FUNCTIONS, "ai_"),
+        "streaming": like_any(text, fixed.STREAM_TEXT),
+        "time_travel": like_any(text, fixed.TIME_TRAVEL_TEXT),
+        "clustering": like_any(text, fixed.CLUSTERING_TEXT),
+        "function_definitions": matches(text, fixed.FUNCTION_DEFINITION, "function", "_udf"),
+        "compaction": matches(text, fixed.COMPACTION_STATEMENT, "optimize "),
+        "statistics": matches(text, fixed.STATISTICS_STATEMENT, "analyze"),
+        "joining": like(text, fixed.JOIN_TEXT),
+        "partner": has_any(lowered(client), fixed.PARTNER_TOOLS),
+    }
+    on_system, on_billing_schema, on_billing, on_lineage, on_audit, joining, partner = (
+        F.col(f"_{n}")
+        for n in ("on_system", "on_billing_schema", "on_billing", "on_lineage", "on_audit",
+                  "joining", "partner")
+    )
+    joins = done & joining
     select = F.col("statement_type") == "SELECT"
     with_file_counts = done & (pruned + opened > 0)
-    client = F.col("client_application")
     named_client = client.isNotNull()
-    partner = has_any(F.lower(client), fixed.PARTNER_TOOLS)
 
     def done_total(name: str) -> Total:
         return Total(F.when(done, _or_zero(name)))
@@ -72,27 +96,9 @@ def queries(run: Run) -> Pass:
         "audit_principals": Distinct("executed_by", on_audit),
         "billing": Rows(on_billing),
         "billing_principals": Distinct("executed_by", on_billing),
-        "history": Rows(on_history),
-        "system_principals": Distinct(
-            "executed_by", on_system & ~like(text, fixed.SCHEMA_BROWSING_TEXT)
-        ),
-        "trend": Rows(
-            on_billing & (has_any(text, fixed.TREND_WORDS) | text.contains("group by"))
-        ),
-        "inline_credentials": Rows(
-            matches(text, fixed.INLINE_URL, "jdbc:") | like_any(text, fixed.INLINE_KEYS)
-        ),
-        "file_ingestion": Rows(like_any(text, fixed.FILE_INGESTION_TEXT)),
-        "ai_functions": Rows(matches(text, fixed.AI_FUNCTIONS, "ai_")),
+        "history": Rows(F.col("_on_history")),
+        "system_principals": Distinct("executed_by", on_system & ~F.col("_browsing")),
         "assistant_rooms": Rows(F.col("query_source.genie_space_id").isNotNull()),
-        "streaming": Rows(like_any(text, fixed.STREAM_TEXT)),
-        "time_travel": Rows(like_any(text, fixed.TIME_TRAVEL_TEXT)),
-        "clustering": Rows(like_any(text, fixed.CLUSTERING_TEXT)),
-        "function_definitions": Rows(
-            matches(text, fixed.FUNCTION_DEFINITION, "function", "_udf")
-        ),
-        "compaction": Rows(matches(text, fixed.COMPACTION_STATEMENT, "optimize ")),
-        "statistics": Rows(matches(text, fixed.STATISTICS_STATEMENT, "analyze")),
         "dashboards": Distinct("dashboard", on_system),
         "billing_dashboards": Distinct("dashboard", on_billing_schema),
         "alerts": Distinct("alert"),
@@ -135,18 +141,23 @@ def queries(run: Run) -> Pass:
         "partner_queries": Rows(partner),
         "partners": Distinct("client", partner),
     }
+    for name in (
+        "trend", "inline_credentials", "file_ingestion", "ai_functions", "streaming",
+        "time_travel", "clustering", "function_definitions", "compaction", "statistics",
+    ):
+        metrics[name] = Rows(F.col(f"_{name}"))
     return Pass(
         frame,
         {f"queries.{n}": m for n, m in metrics.items()},
-        features={"_text": F.lower(F.col("statement_text"))},
+        features={f"_{n}": c for n, c in features.items()},
         carrier=("executed_by",),
         spread={
             "dashboard": F.coalesce(
                 F.col("query_source.dashboard_id"), F.col("query_source.legacy_dashboard_id")
             ),
             "alert": F.col("query_source.alert_id"),
+            "client": client,
         },
-        keys={"client": client},
     )
 
 

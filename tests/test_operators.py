@@ -172,6 +172,65 @@ def test_counts_and_mixes_of_one_scan(spark, carrier, spread):
     assert sorted(raw, key=repr) == sorted(Counter(r[1] for r in rows).items(), key=repr)
 
 
+@pytest.mark.parametrize("features", [False, True])
+@pytest.mark.parametrize("keys", [False, True])
+def test_mixes_of_a_spread_key(spark, features, keys):
+    """A key with many values per carrier value adds its own groups, and none of both."""
+    rng = random.Random(4)
+    rows = [(*r, rng.choice(["A", "B", "C", "D", None]), f"u{i % 900}") for i, r in enumerate(sample(4))]
+    schema = "key string, kind string, v int, dash string, tool string, user string"
+    frame = spark.createDataFrame(rows, schema)
+    big = F.col("_big") if features else F.col("v") > 1
+    metrics = {
+        "m.rows": Rows(),
+        "m.big": Rows(big),
+        "m.sum": Total(F.when(big, F.col("v"))),
+        "m.users": Distinct("user", big),
+        "m.tools": Top("tool", 3),
+        "m.big_tools": Top("tool", None, big),
+        "m.tool_values": Distinct("tool", big),
+        "m.dashes": Distinct("dash"),
+    }
+    if keys:
+        metrics["m.kinds"] = Top("kind", 2)
+    plan = Pass(
+        frame,
+        metrics,
+        features={"_big": F.col("v") > 1} if features else {},
+        carrier=("user",),
+        spread={"dash": F.col("dash"), "tool": F.col("tool")},
+        keys={"kind": F.col("kind")} if keys else {},
+    )
+    found, failed = measure(plan, metrics)
+    assert failed == {}
+    got = {
+        r["metric"]: r["value"] if r["mix"] is None else [tuple(p) for p in r["mix"]]
+        for r in found.collect()
+    }
+    bigs = [r for r in rows if r[2] is not None and r[2] > 1]
+
+    def most(values, k):
+        return sorted(Counter(values).items(), key=lambda p: (-p[1], p[0]))[:k]
+
+    expected = {
+        "m.rows": len(rows),
+        "m.big": len(bigs),
+        "m.sum": sum(r[2] for r in bigs),
+        "m.users": len({r[5] for r in bigs}),
+        "m.tools": most([r[4] for r in rows if r[4]], 3),
+        "m.big_tools": most([r[4] for r in bigs if r[4]], 50),
+        "m.tool_values": len({r[4] for r in bigs} - {None}),
+        "m.dashes": len({r[3] for r in rows} - {None}),
+    }
+    if keys:
+        expected["m.kinds"] = most([r[1] or "unknown" for r in rows], 2)
+    assert got == expected
+    text = found._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("Scan ExistingRDD") == 1 and "WindowGroupLimit" in text
+    tools = [tuple(r) for r in mix_rows(plan, "m.tools").collect()]
+    assert tools == expected["m.tools"]
+
+
 def test_newest_and_counts_pick_as_latest_does(spark):
     rng = random.Random(9)
     rows = [

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from posture.assess import assess, questions_of
 from posture.config import AssessmentConfig
-from posture.operators.evidence import MIX, Mean, columns_read, measure
+from posture.operators.evidence import MIX, Mean, _Grouped, columns_read, measure
 from posture.operators.run import Run
 from posture.plans.bank import PILLARS, questions
 from posture.plans.passes import PASSES
@@ -302,6 +302,23 @@ def test_one_scan_and_no_lone_window_in_each_plan(spark):
         assert "windowspecdefinition(row_number" not in text
 
 
+def test_passes_are_compiled_and_clients_make_no_groups(spark):
+    """The JVM interprets methods over 8,000 bytes; groups must not multiply with clients."""
+    run = Run(star_sources(spark, SF_DIR), AssessmentConfig(as_of=AS_OF))
+    for name in ("queries", "audit", "usage", "jobs", "clusters"):
+        plan = PASSES[name].build(run)
+        found, failed = measure(plan, plan.metrics)
+        assert failed == {} and found.collect()
+        stages = found._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+        assert 0 < max(sizes) <= 8000, (name, sizes)
+    plan = PASSES["queries"].build(run)
+    grouped = _Grouped(plan, plan.metrics).rows(plan.frame.withColumns(plan.features))
+    principals = plan.frame.select("executed_by").distinct().count()
+    assert grouped.where("_kind = ''").count() == principals
+    assert grouped.count() < 2 * principals
+
+
 def test_status_dependencies_of_all_rules(star_run):
     """A metric that changes any status, one changed at a time, is known to decide it."""
     rng = random.Random(5)
