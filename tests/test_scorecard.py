@@ -319,6 +319,15 @@ def test_passes_are_compiled_and_clients_make_no_groups(spark):
     assert grouped.count() < 2 * principals
 
 
+def test_passes_over_logs_start_first(star_run):
+    """The longest passes must not wait until all others are planned."""
+    metrics = {"assistant.rows", "connections.rows", "jobs.total", "queries.all", "usage.rows"}
+    work = Measurement(star_run, metrics)
+    long, failed = work.result()
+    assert failed == {} and {r["metric"] for r in long.collect()} == metrics
+    assert list(work._jobs) == ["queries", "assistant", "jobs", "usage", "connections"]
+
+
 def test_status_dependencies_of_all_rules(star_run):
     """A metric that changes any status, one changed at a time, is known to decide it."""
     rng = random.Random(5)
